@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import bitplanes, langid, mixing, pieces
 from .sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score."""
+    return langid.identify(spark, table(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, decoded again: doc_id, piece_ids, n_pieces, round_trip."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as read back from plane files: doc_id, start, n_tokens, ids_crc32, shard."""
+    return bitplanes.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents selected by hierarchical budgeting: doc_id, domain, lang, source, n_tokens, epoch."""
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_mix_sources": op10_mix_sources}
+    return {
+        "op5_language_id": op5_language_id,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op9_token_files": op9_token_files,
+        "op10_mix_sources": op10_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
