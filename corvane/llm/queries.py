@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, langid, mixing, pieces
+from . import bitplanes, html_text, langid, mixing, pieces
 from .sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text, n_chars."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score."""
     return langid.identify(spark, table(spark, sf_dir, "documents"))
@@ -45,6 +50,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_html_text": op3_html_text,
         "op5_language_id": op5_language_id,
         "op6_sentencepiece": op6_sentencepiece,
         "op9_token_files": op9_token_files,
