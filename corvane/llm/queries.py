@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, html_text, langid, mixing, pieces
+from . import bitplanes, html_text, langid, minhash, mixing, pieces, substrings
 from .sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents on 2-word shingles: doc_id, n_shingles, component_id, kept."""
+    return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"), k=2)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score."""
     return langid.identify(spark, table(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without repeated 35-word windows: doc_id, n_words, n_removed, kept_sha256."""
+    return substrings.dedup_substrings(spark, table(spark, sf_dir, "documents"), texts=False)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from plane files: doc_id, start, n_tokens, ids_crc32, shard."""
     return bitplanes.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -51,8 +61,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_html_text": op3_html_text,
+        "op4_minhash": op4_minhash,
         "op5_language_id": op5_language_id,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_substring_dedup": op7_substring_dedup,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
     }
