@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, html_text, langid, minhash, mixing, pieces, substrings
+from . import bitplanes, html_text, langid, lines, minhash, mixing, pieces, substrings, winnowing
 from .sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with one occurrence of each group of nearly equal lines: doc_id, text, n_lines, n_removed."""
+    return lines.dedup_lines(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -48,6 +53,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(spark, table(spark, sf_dir, "documents"), texts=False)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return winnowing.fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as read back from plane files: doc_id, start, n_tokens, ids_crc32, shard."""
     return bitplanes.token_files(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
@@ -60,11 +70,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op3_html_text": op3_html_text,
         "op4_minhash": op4_minhash,
         "op5_language_id": op5_language_id,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_winnowing": op8_winnowing,
         "op9_token_files": op9_token_files,
         "op10_mix_sources": op10_mix_sources,
     }
