@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplanes, html_text, langid, lines, minhash, mixing, pieces, substrings, winnowing
+from . import bitplanes, html_text, langid, lines, minhash, mixing, neighbours, pieces, substrings, winnowing
 from .sql import ORACLE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of each query: query_id, rank, vec_id, score."""
+    return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -71,6 +76,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_nn_descent": op2_nn_descent,
         "op3_html_text": op3_html_text,
         "op4_minhash": op4_minhash,
         "op5_language_id": op5_language_id,
