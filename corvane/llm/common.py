@@ -1,102 +1,11 @@
-"""Shared plumbing of the corpus operators: scratch tables, checked broadcasts, connected components."""
+"""What the corpus operators share with the library: scratch tables, checked broadcasts, components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from ..operators.graph import components
+from ..plans.scratch import BROADCAST_ROWS, Scratch, shared_dir, small_side
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+__all__ = ["BROADCAST_ROWS", "WORD", "Scratch", "components", "shared_dir", "small_side"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-
-#: Rows up to which a side of a join may be broadcast (a row here is a few dozen bytes).
-BROADCAST_ROWS = 200_000
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is ``spark.checkpoint.dir`` as the session has it. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Intermediate Parquet tables in the shared folder.
-
-    A written table cuts lineage, survives the loss of any executor, and holds narrow columns only. ``drop``
-    removes a table that no later step reads; whatever is left goes when the session's JVM ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)
-
-    def path(self, tag: str) -> str:
-        return f"{self.root}/{tag}"
-
-    def save(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(tag))
-        return self.load(tag, df.schema)
-
-    def load(self, tag: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(self.path(tag))
-
-    def drop(self, tag: str) -> None:
-        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(tag)), True)
-
-
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is: the join then shuffles."""
-    n = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
-
-
-def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows ``(id, root)`` for every id but the roots themselves.
-
-    Alternates large-star and small-star steps, which take O(log^2 n) rounds at most. Minima are combined
-    before each shuffle, and the joins back are plain equi-joins that adaptive execution can split when a node
-    is hot. Labels never leave the cluster: the driver sees only a count and a checksum per round. ``root`` is
-    the smallest id reachable. Self-loops and repeated edges are harmless.
-    """
-    cur = scratch.save(
-        edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        f"{tag}-0",
-    )
-    before = None
-    for i in range(1, max_rounds + 1):
-        # large-star: every larger neighbour of u moves to u's smallest neighbour (or u itself)
-        both = cur.union(cur.select("b", "a").toDF("a", "b"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small-star: u and its smaller neighbours move to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a")
-        small = (
-            moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        )
-        nxt = scratch.save(small, f"{tag}-{i}")
-        scratch.drop(f"{tag}-{i - 1}")
-        now = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        cur = nxt
-        if now == before:
-            return cur.select(F.col("a").alias("id"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError("components did not converge")
