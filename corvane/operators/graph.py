@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
 
+#: Edges up to which one task does all steps of a round, without any exchange.
+ONE_TASK = 200_000
+
+
+def _flipped(*pairs: tuple[str, str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])).alias("e")
+
+
 def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, root)`` for every id but the roots themselves.
 
     Alternates large-star and small-star steps, which take O(log^2 n) rounds at most. Minima are combined
     before each shuffle, and the joins back are plain equi-joins that adaptive execution can split when a node
     is hot. Labels never leave the cluster: the driver sees only a count and a checksum per round. ``root`` is
-    the smallest id reachable. Self-loops and repeated edges are harmless.
+    the smallest id reachable. Self-loops and repeated edges are harmless. The number of edges never grows, so
+    where there are few (ONE_TASK) the same steps run in one task.
     """
     cur = scratch.save(
         edges.where(F.col("a") != F.col("b"))
@@ -22,18 +31,17 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
         .distinct(),
         f"{tag}-0",
     )
+    few = cur.count() <= ONE_TASK
     before = None
     for i in range(1, max_rounds + 1):
+        base = cur.coalesce(1) if few else cur
         # large-star: every larger neighbour of u moves to u's smallest neighbour (or u itself)
-        both = cur.union(cur.select("b", "a").toDF("a", "b"))
+        both = base.select(_flipped(("a", "b"), ("b", "a"))).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: u and its smaller neighbours move to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(low, "a")
-        small = (
-            moved.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        )
+        moved = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = moved.select(_flipped(("b", "m"), ("a", "m"))).select("e.*").where("a > b").distinct()
         nxt = scratch.save(small, f"{tag}-{i}")
         scratch.drop(f"{tag}-{i - 1}")
         now = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
