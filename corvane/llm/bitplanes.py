@@ -13,10 +13,13 @@ of token ids of each document, in the order of the file.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,42 +105,48 @@ def unpack(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
         yield (None if nul else k), ids[e - m : e]
 
 
-#: Characters that separate pre-tokens, as the tokenizer's own pattern sees white space (fixed values).
+#: Characters that end a pre-token as white space, in the tokenizer's own pattern (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Letters that certainly end a pre-token before an ASCII character that is no letter.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Distinct pieces whose ids are remembered; the memory is emptied when it is full, so it stays bounded.
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 
-def bpe_encoder(path: str) -> Callable[[str], bytes]:
-    """Text to little-endian uint32 ids, with the tokenizers library.
+class Encoder:
+    """Text to token ids with the tokenizers library.
 
-    The tokenizer never merges across the edge between a run of non-blanks (with one blank before it) and what
-    precedes it, so a text is cut there and each distinct piece goes through the library once. Strings of special
-    tokens are ordinary text.
+    The tokenizer never merges over the edge of a pre-token. Texts are cut at edges that are certain (white space, and
+    Latin letters before ASCII characters that are none), and each distinct piece goes through the library once.
+    Strings of special tokens are ordinary text. Tasks are the parallelism, so the library runs in one thread.
     """
-    import re
-
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    cut = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
-    known: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        pieces = cut(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > REMEMBER:
-            known.clear()
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = True
+        piece = f" ?[{LATIN}]++(?![^\\x00-\\x7f])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+        self.cut = re.compile(piece).findall
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        pieces, known = self.cut(text), self.known
         new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[p] for p in pieces])
+        if new:
+            if len(known) + len(new) > REMEMBER:
+                known.clear()
+                new = list(set(pieces))
+            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                known[p] = np.array(e.ids, "<u4").tobytes()
+        return np.frombuffer(b"".join([known[p] for p in pieces]), "<u4")
+
 
-    return encode
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer file, once per Python worker."""
+    return Encoder(path)
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, root: str, tokenizer: str, mode: str = "byte") -> DataFrame:
@@ -147,14 +156,14 @@ def write_shards(spark: SparkSession, docs: DataFrame, root: str, tokenizer: str
     its name by a rename, and a repeated task writes the same bytes, so lost executors do no harm. Memory per task is
     one shard. The returned DataFrame does the work when it is written.
     """
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pfs
         from pyspark import TaskContext
 
         store, base = pfs.FileSystem.from_uri(root)
-        part, encode = TaskContext.get().partitionId(), bpe_encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), encoder(tokenizer).encode
         held: list[tuple[int | None, np.ndarray]] = []
         size, seq = 0, 0
 
@@ -171,7 +180,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, root: str, tokenizer: str
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or "") + end, "<u4")
+                ids = np.concatenate([encode(text or ""), end])
                 held.append((key, ids))
                 size += len(ids)
                 if size >= SHARD_IDS:
