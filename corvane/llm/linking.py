@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, small_side
@@ -29,41 +29,67 @@ def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
     return out
 
 
-def link_groups(scratch: Scratch, members: DataFrame, verify: Verify, rounds: int = ROUNDS) -> DataFrame:
+def link_groups(
+    scratch: Scratch, members: DataFrame, verify: Verify, bounds: Callable[[DataFrame], DataFrame], may_link: Callable[..., Column], rounds: int = ROUNDS
+) -> DataFrame:
     """Components of the verified links inside buckets: rows (id, root) for all but the roots.
 
     ``members(key, c, deg)`` has a row for each element of each bucket; ``verify`` gets pairs (lo, hi) and returns
     those that are links. In each round every bucket that still holds more than one component links its members to
     its pivot, the member with the most company, which in a group of copies is the one that was changed least. The
-    pivot has then been compared with everything in its bucket and leaves it. After the last round the members that
-    are left are compared across components, pair by pair: that is the exact way for strays, and cheap as long as
-    they are few. A bucket of n members costs about n comparisons a round, not n^2.
+    pivot has then been compared with everything in its bucket and leaves it. A bucket of n members costs n
+    comparisons a round, not n^2.
+
+    After the last round a bucket holds its main component (the last pivot's) and strays. Strays are compared with
+    all they share a bucket with, but for pairs that cannot be links: ``bounds`` gets the ids that are left and
+    returns (c, n, f), n the size of an element and f how much of it any other of these ids could share;
+    ``may_link(n, f, n2, f2)`` is an exact necessary condition. Most strays share too little to be linked to anything
+    at all, and fall out before any pair is made.
     """
     labels, links, tested = None, None, None
-    for r in range(1, rounds + 2):
-        act = members.withColumn("root", F.col("c"))
-        if labels is not None:
-            act = members.join(labels.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        if r <= rounds:
-            pivots = act.groupBy("key").agg(
-                F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct("deg", (-F.col("c")).alias("n"), "root")).alias("_p")
-            )
-            pivots = pivots.where("_lo < _hi").select("key", (-F.col("_p.n")).alias("p"), F.col("_p.root").alias("p_root"))
-            met = scratch.save(act.join(pivots, "key"), f"met-{r}")
-            pairs = met.where("root <> p_root").select(F.least("p", "c").alias("lo"), F.greatest("p", "c").alias("hi")).distinct()
-            members = met.where("c <> p").select("key", "c", "deg")
-        else:
-            a, b = act.select("key", "c", "root"), act.select("key", F.col("c").alias("d"), F.col("root").alias("other"))
-            pairs = a.join(b, "key").where("c < d AND root <> other").select(F.col("c").alias("lo"), F.col("d").alias("hi")).distinct()
+
+    def record(pairs: DataFrame, tag: str) -> bool:
+        nonlocal labels, links, tested
         if tested is not None:
             pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs-{r}")
-        n = pairs.count()
-        if not n:
-            break
-        found = scratch.save(verify(pairs), f"links-{r}")
+        pairs = scratch.save(pairs, f"pairs-{tag}")
+        if pairs.isEmpty():
+            return False
+        found = scratch.save(verify(pairs), f"links-{tag}")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
-            labels = components(scratch, links.select(F.col("lo").alias("a"), F.col("hi").alias("b")), f"cc{r}")
+            labels = components(scratch, links.select(F.col("lo").alias("a"), F.col("hi").alias("b")), f"cc-{tag}")
+        return True
+
+    def rooted(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("root", F.col("c"))
+        return rows.join(small_side(labels.withColumnRenamed("id", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
+
+    for r in range(1, rounds + 1):
+        act = rooted(members)
+        pivots = act.groupBy("key").agg(
+            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct("deg", (-F.col("c")).alias("n"), "root")).alias("_p")
+        )
+        pivots = pivots.where("_lo < _hi").select("key", (-F.col("_p.n")).alias("p"), F.col("_p.root").alias("p_root"))
+        met = scratch.save(act.join(small_side(pivots), "key"), f"met-{r}")
+        members = met.where("c <> p").select("key", "c", "deg", "p_root")
+        if not record(met.where("root <> p_root").select(F.least("p", "c").alias("lo"), F.greatest("p", "c").alias("hi")).distinct(), str(r)):
+            break
+        members = members.drop("p_root") if r < rounds else members
+    if "p_root" in members.columns and not members.isEmpty():
+        main = members.select("key", F.col("p_root").alias("c")).distinct()  # where the last pivot's component is now
+        main = rooted(main).select("key", F.col("root").alias("main"))
+        left = rooted(members.drop("p_root")).join(small_side(main), "key")
+        left = scratch.save(left.select("key", "c", "root", (F.col("root") != F.col("main")).alias("stray")), "left")
+        keys = small_side(left.where("stray").select("key").distinct())
+        left = left.join(keys, "key", "left_semi")
+        sized = scratch.save(bounds(left.select("c").distinct()), "bounds")
+        left = left.join(small_side(sized), "c")
+        stray = left.where("stray").where(may_link(F.col("n"), F.col("f"), F.lit(0), F.col("f")))
+        other = left.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "root", "stray", "n", "f")])
+        once = ~F.col("stray2") | (F.col("c") < F.col("c2"))
+        pairs = stray.join(other, (stray["key"] == other["key"]) & (F.col("root") != F.col("root2")) & once & may_link(F.col("n"), F.col("f"), F.col("n2"), F.col("f2")))
+        record(pairs.select(F.least("c", "c2").alias("lo"), F.greatest("c", "c2").alias("hi")).distinct(), "last")
     return labels if labels is not None else members.select(F.col("c").alias("id"), F.col("c").alias("root")).limit(0)

@@ -8,8 +8,9 @@ element bids for each place once, the places are correlated such that estimates
 Documents with the same shingle set form one class at once. The classes' signatures are cut into bands; classes that
 agree in a band are candidates. No group emits its pairs: in each round, every bucket that still holds several
 components links its members to one pivot (the member with the most neighbours, which in a group of copies is the one
-that was changed least), links are verified on full sets, and components grow. A pivot is then done with its bucket.
-What is left after the last round, a few strays for most corpora, is compared pair by pair across components.
+that was changed least), links are verified on full sets, and components grow. A pivot is then done with its bucket. What
+is left after the last round are strays; a stray is compared with what it shares a bucket with, unless too few of its
+shingles occur in any other of the sets that are left.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands; links of pairs that share one are exact.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_side
@@ -191,7 +192,19 @@ def near_duplicates(
         union = F.size("a") + F.size("b") - common
         return both.where(100 * common >= percent * union).select("lo", "hi").distinct()
 
-    labels = link_groups(scratch, members, verify)
+    def bounds(ids: DataFrame) -> DataFrame:
+        """Sizes, and how many shingles any other of these sets has too: no intersection can be larger."""
+        own = sets.join(small_side(ids), "c", "left_semi").select("c", F.size("s").alias("n"), F.explode("s").alias("x"))
+        common = own.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+        shared = own.join(common, "x").groupBy("c").agg(F.max("n").alias("n"), F.sum((F.col("df") > 1).cast("int")).alias("f"))
+        return shared.select("c", F.col("n").cast("long"), F.col("f").cast("long"))
+
+    def may_link(n: Column, f: Column, n2: Column, f2: Column) -> Column:
+        """|a & b| <= min(f, f2) must reach percent / (100 + percent) of |a| + |b|; a partner has min(f, f2) at least."""
+        least = F.least(f, f2)
+        return (100 + percent) * least >= percent * (n + F.greatest(n2, least))
+
+    labels = link_groups(scratch, members, verify, bounds, may_link)
     named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", F.coalesce("root", "c").alias("root"))
     # a doc_id with several texts has several classes; its document belongs where the smallest of them leads
     out = sized.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
