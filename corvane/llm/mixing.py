@@ -83,12 +83,13 @@ def order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def cuts(narrow: DataFrame, shares: DataFrame, seed: int, digits: int = 3) -> DataFrame:
+def cuts(narrow: DataFrame, shares: DataFrame, seed: int, max_epochs: int, digits: int = 3) -> DataFrame:
     """One row per leaf: ``full`` epochs that are taken whole, and ``cut``, the last order key of the next epoch."""
     plan = shares.withColumn("full", F.floor(F.col("share") / F.col("tokens") + 1e-9)).withColumn(
         "rest", F.floor(F.greatest(F.lit(0.0), F.col("share") - F.col("full") * F.col("tokens")) + 1e-6)
     )
-    plan = plan.select(*LEAF, "full", "rest")
+    # a leaf that is used up takes nothing from a further epoch, not even documents without tokens
+    plan = plan.select(*LEAF, "full", F.when(F.col("full") >= max_epochs, -1).otherwise(F.col("rest")).alias("rest"))
     keyed = (
         narrow.join(small_side(plan), LEAF)
         .withColumn("key", order_key(seed, F.col("full"), F.col("doc_id")))
@@ -118,7 +119,7 @@ def mixture_plan(
     shares = scratch.save(
         budgets(leaves, F.lit(float(budget_ratio)), domain_weights, lang_weights, source_weights, max_epochs), "shares"
     )
-    return narrow, scratch.save(cuts(narrow, shares, seed), "plan")
+    return narrow, scratch.save(cuts(narrow, shares, seed, max_epochs), "plan")
 
 
 def take(rows: DataFrame, plan: DataFrame, seed: int) -> DataFrame:

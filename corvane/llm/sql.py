@@ -41,7 +41,7 @@ plan AS (SELECT domain, lang, source, floor(share / tokens + 1e-9) AS f,
 keyed AS (SELECT d.*, f::BIGINT AS f, rest, md5('{seed}:' || f::BIGINT || ':' || coalesce(doc_id::VARCHAR, '')) AS key
     FROM d JOIN plan USING (domain, lang, source)),
 cum AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key RANGE UNBOUNDED PRECEDING) AS t FROM keyed),
-n AS (SELECT *, f + CASE WHEN t <= rest THEN 1 ELSE 0 END AS times FROM cum)
+n AS (SELECT *, f + CASE WHEN f < {epochs} AND t <= rest THEN 1 ELSE 0 END AS times FROM cum)
 SELECT doc_id, domain, lang, source, n_tokens::BIGINT AS n_tokens, e::INTEGER AS epoch
 FROM (SELECT *, unnest(range(times)) AS e FROM n)
 """
