@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, small_side
@@ -30,7 +30,7 @@ def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
 
 
 def link_groups(
-    scratch: Scratch, members: DataFrame, verify: Verify, bounds: Callable[[DataFrame], DataFrame], may_link: Callable[..., Column], rounds: int = ROUNDS
+    scratch: Scratch, members: DataFrame, verify: Verify, rest: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS
 ) -> DataFrame:
     """Components of the verified links inside buckets: rows (id, root) for all but the roots.
 
@@ -40,11 +40,9 @@ def link_groups(
     pivot has then been compared with everything in its bucket and leaves it. A bucket of n members costs n
     comparisons a round, not n^2.
 
-    After the last round a bucket holds its main component (the last pivot's) and strays. Strays are compared with
-    all they share a bucket with, but for pairs that cannot be links: ``bounds`` gets the ids that are left and
-    returns (c, n, f), n the size of an element and f how much of it any other of these ids could share;
-    ``may_link(n, f, n2, f2)`` is an exact necessary condition. Most strays share too little to be linked to anything
-    at all, and fall out before any pair is made.
+    After the last round a bucket holds its main component (the last pivot's) and strays. ``rest`` gets what is left
+    of those buckets (key, c, root, stray) and returns pairs (lo, hi) of a stray and another member of another root;
+    it must return every pair that shares a bucket and is a link, and may leave out what cannot be one.
     """
     labels, links, tested = None, None, None
 
@@ -84,12 +82,6 @@ def link_groups(
         left = rooted(members.drop("p_root")).join(small_side(main), "key")
         left = scratch.save(left.select("key", "c", "root", (F.col("root") != F.col("main")).alias("stray")), "left")
         keys = small_side(left.where("stray").select("key").distinct())
-        left = left.join(keys, "key", "left_semi")
-        sized = scratch.save(bounds(left.select("c").distinct()), "bounds")
-        left = left.join(small_side(sized), "c")
-        stray = left.where("stray").where(may_link(F.col("n"), F.col("f"), F.lit(0), F.col("f")))
-        other = left.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "root", "stray", "n", "f")])
-        once = ~F.col("stray2") | (F.col("c") < F.col("c2"))
-        pairs = stray.join(other, (stray["key"] == other["key"]) & (F.col("root") != F.col("root2")) & once & may_link(F.col("n"), F.col("f"), F.col("n2"), F.col("f2")))
-        record(pairs.select(F.least("c", "c2").alias("lo"), F.greatest("c", "c2").alias("hi")).distinct(), "last")
+        left = scratch.save(left.join(keys, "key", "left_semi"), "strays")
+        record(rest(left).distinct(), "last")
     return labels if labels is not None else members.select(F.col("c").alias("id"), F.col("c").alias("root")).limit(0)

@@ -9,8 +9,8 @@ Documents with the same shingle set form one class at once. The classes' signatu
 agree in a band are candidates. No group emits its pairs: in each round, every bucket that still holds several
 components links its members to one pivot (the member with the most neighbours, which in a group of copies is the one
 that was changed least), links are verified on full sets, and components grow. A pivot is then done with its bucket. What
-is left after the last round are strays; a stray is compared with what it shares a bucket with, unless too few of its
-shingles occur in any other of the sets that are left.
+is left after the last round are strays; a stray is compared with what it shares a bucket with, by prefix filtering, which makes
+a pair only of sets that share one of their rarest shingles.
 
 A pair of similarity s shares no bucket with probability (1 - s^rows)^bands; links of pairs that share one are exact.
 """
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_side
@@ -192,19 +192,27 @@ def near_duplicates(
         union = F.size("a") + F.size("b") - common
         return both.where(100 * common >= percent * union).select("lo", "hi").distinct()
 
-    def bounds(ids: DataFrame) -> DataFrame:
-        """Sizes, and how many shingles any other of these sets has too: no intersection can be larger."""
-        own = sets.join(small_side(ids), "c", "left_semi").select("c", F.size("s").alias("n"), F.explode("s").alias("x"))
-        common = own.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-        shared = own.join(common, "x").groupBy("c").agg(F.max("n").alias("n"), F.sum((F.col("df") > 1).cast("int")).alias("f"))
-        return shared.select("c", F.col("n").cast("long"), F.col("f").cast("long"))
-
-    def may_link(n: Column, f: Column, n2: Column, f2: Column) -> Column:
-        """|a & b| <= min(f, f2) must reach percent / (100 + percent) of |a| + |b|; a partner has min(f, f2) at least."""
-        least = F.least(f, f2)
-        return (100 + percent) * least >= percent * (n + F.greatest(n2, least))
-
-    labels = link_groups(scratch, members, verify, bounds, may_link)
+    def rest(left: DataFrame) -> DataFrame:
+        """Pairs of strays by prefix filtering with positions, which loses no link.
+
+        Shingles are ordered from the rarest to the most common. Sets that reach the similarity share a shingle among
+        the first n - ceil(percent * n / 100) + 1 of each, and from their first shared one on enough must be left to
+        reach it. What one document alone has comes first, so a set that was changed too much shares none there.
+        """
+        docs_left = left.groupBy("c").agg(F.max("root").alias("root"), F.max("stray").alias("stray"))
+        own = sets.join(small_side(docs_left), "c").select("c", "root", "stray", F.size("s").alias("n"), F.explode("s").alias("x"))
+        df = own.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
+        order = Window.partitionBy("c").orderBy("df", "x")
+        first = own.join(df, "x").withColumn("i", F.row_number().over(order) - 1)
+        first = scratch.save(first.where("df > 1").where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "prefixes")
+        stray, other = first.where("stray"), first.select(*[F.col(k).alias(f"{k}2") for k in ("x", "c", "root", "stray", "n", "i")])
+        most = 1 + F.least(F.col("n") - F.col("i") - 1, F.col("n2") - F.col("i2") - 1)
+        enough = (100 + percent) * most >= percent * (F.col("n") + F.col("n2"))
+        once = ~F.col("stray2") | (F.col("c") < F.col("c2"))
+        pairs = stray.join(other, (F.col("x") == F.col("x2")) & (F.col("root") != F.col("root2")) & once & enough)
+        return pairs.select(F.least("c", "c2").alias("lo"), F.greatest("c", "c2").alias("hi"))
+
+    labels = link_groups(scratch, members, verify, rest)
     named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", F.coalesce("root", "c").alias("root"))
     # a doc_id with several texts has several classes; its document belongs where the smallest of them leads
     out = sized.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
