@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bitplanes, html_text, langid, lines, minhash, mixing, neighbours, pieces, substrings, winnowing
+from corvane.llm.common import Scratch
 from corvane.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c string, key string, row string, tail boolean"
@@ -229,12 +230,13 @@ def test_lines(spark, none):
     assert lines.dedup_lines(spark, none).count() == 0 and lines.dedup_lines(spark, none, columns=True).columns == none.columns
 
 
-def test_simhash_votes(spark):
+@pytest.mark.parametrize("run", [lines.RUN, 500, 3])
+def test_simhash_votes(spark, run):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "a"), (3, "a b b b c " * 400 + "z")], "id long, norm string")
     h = {}
     for r in spark.createDataFrame([(w,) for w in "a b c d e z".split()], "w string").select("w", F.array(*[F.xxhash64("w", F.lit(i)) for i in range(lines.HASHES)]).alias("h")).collect():
         h[r.w] = [x & (2**64 - 1) for x in r.h]
-    for r in lines.simhash_keys(df.withColumn("norm", F.trim("norm"))).collect():
+    for r in lines.simhash_keys(Scratch(spark, "t"), df.withColumn("norm", F.trim("norm")), run).collect():
         words = {1: "a b c d e", 2: "a", 3: "a b b b c " * 400 + "z"}[r.id].split()
         want = []
         for i in range(lines.HASHES):
