@@ -245,6 +245,34 @@ def test_simhash_votes(spark, run):
         assert list(r["keys"]) == want
 
 
+def test_lines_with_changed_words_and_letters(spark):
+    """Near copies in the reach of similarity 0.8 are candidates, whatever the length of the line."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuwz") for _ in range(rng.randint(3, 8)))
+    data, most = [], 0
+    for n in (1, 2, 3, 6, 8, 10, 20, 40, 100):
+        for kind in ("word", "letter", "letters"):
+            for _ in range(10):
+                line = [word() for _ in range(n)]
+                other = list(line)
+                if kind == "word":
+                    for i in rng.sample(range(n), max(1, n // 10)):
+                        other[i] = word()
+                a, b = " ".join(line), list(" ".join(other))
+                if kind != "word":
+                    for i in rng.sample([i for i, x in enumerate(b) if x != " "], max(1, len(b) // 20) if kind == "letters" else 1):
+                        b[i] = rng.choice("jqvxy")
+                b = "".join(b)
+                if a != b and edit(a, b) <= max(len(a), len(b)) // 5:
+                    data += [(most, a), (most + 1, b)]
+                    most += 2
+    cjk = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))  # no spaces: one word
+    data += [(most, cjk), (most + 1, "\u8d77" + cjk[1:30] + "\u8d77" + cjk[31:])]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    missed = [(a, b) for (i, a), (j, b) in zip(data[::2], data[1::2], strict=True) if not got[j]]
+    assert len(data) > 300 and len(missed) <= 0.01 * len(data) / 2, (len(missed), missed[:5])
+
+
 # -- 10
 
 
