@@ -6,7 +6,8 @@ Each round joins nodes with their neighbours, in both directions, and lets every
 compared, and only those closer than what a node has already are passed on. Rounds end when few edges change.
 
 A query starts at its own node's neighbours and keeps a list of the nearest nodes seen; each step expands the nearest
-ones that have not been expanded, until there is none.
+ones that have not been expanded, until there is none. A bounded number of queries is answered by brute force as well;
+if the search has found too few of their neighbours, all queries are answered so.
 
 Scale: parts (cells around centres, large ones divided) say where a node's neighbourhood is worked on, so that a
 round ships each vector once to each part that needs it, not once to each edge. A task holds one part. The centres
@@ -37,6 +38,8 @@ PASSED = 8
 SETTLED = 0.03
 #: Results per query.
 TOP = 10
+#: Queries that are also answered by brute force, the recall they must have, and queries that go to a task together.
+MEASURED, WANTED, BLOCK = 100, 0.9, 4096
 
 
 def valid(vec: Column) -> Column:
@@ -220,6 +223,53 @@ def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFr
     return state.select("q", "v", "d")
 
 
+def brute_force(nodes: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """The k nearest nodes (q, v, d) of each query (q, vector), by comparison with all nodes."""
+    q, x = np.array([a for a, _ in asked], np.int64), np.array([v for _, v in asked], np.float64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, y = batch.column(0).to_numpy(), _matrix(batch.column(1))
+            y2, out = (y**2).sum(1), []
+            for lo in range(0, len(x), 256):
+                part = x[lo : lo + 256]
+                scale = (part**2).sum(1)[:, None] + y2[None, :]
+                d = scale - 2 * part @ y.T
+                kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero(d <= kth[:, None] + 1e-9 * scale)  # with what rounding may have put behind
+                out.append((q[lo + i], ids[j], np.sqrt(((part[i] - y[j]) ** 2).sum(1))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["q", "v", "d"])
+
+    met = nodes.select("id", "vec").mapInArrow(run, "q long, v long, d double")
+    near = Window.partitionBy("q").orderBy("d", "v")
+    return met.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).drop("_r")
+
+
+def recall(scratch: Scratch, nodes: DataFrame, found: DataFrame, queries: DataFrame, k: int) -> float:
+    """Share of the k nearest nodes of up to MEASURED of ``queries(q)`` that ``found(q, v, d)`` holds."""
+    drawn = queries.orderBy(F.xxhash64("q"), "q").limit(MEASURED).join(nodes.select(F.col("id").alias("q"), "vec"), "q")
+    asked = [(r["q"], r["vec"]) for r in drawn.collect()]
+    if not asked:
+        return 1.0
+    right = scratch.save(brute_force(nodes, asked, k), "right")
+    return right.join(found.select("q", "v"), ["q", "v"], "left_semi").count() / right.count()
+
+
+def exact(scratch: Scratch, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest nodes (q, v, d) of all ``queries(q)``, a bounded block of queries at a time."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    vectors = scratch.save(queries.join(nodes.select(F.col("id").alias("q"), "vec"), "q").withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))), "vectors")
+    out = None
+    for b in range(blocks):
+        asked = [(r["q"], r["vec"]) for r in vectors.where(F.col("b") == b).collect()]
+        if asked:
+            part = scratch.save(brute_force(nodes, asked, k), f"exact-{b}")
+            out = part if out is None else out.union(part)
+    return out
+
+
 def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
     """The ``top`` nearest vectors found for each row whose vec_id is divisible by ``every``, among all other rows.
 
@@ -247,7 +297,10 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, top: int
     asked = keyed.where(F.col("vec_id") % every == 0).select("k1", "k2", "vec_id").distinct().join(named, ["k1", "k2"])
     asked = scratch.save(asked.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
     edges = build_graph(scratch, nodes, n)
-    found = search(scratch, nodes, edges, asked.select("q").distinct())
+    wanted = asked.select("q").distinct()
+    found = search(scratch, nodes, edges, wanted)
+    if recall(scratch, nodes, found, wanted, top + 1) < WANTED:
+        found = exact(scratch, nodes, wanted, top + 1)
     close = Window.partitionBy("q").orderBy("d", "v")
     found = found.withColumn("_r", F.row_number().over(close)).where(F.col("_r") <= top + 1).drop("_r")
     out = asked.join(found, "q").join(members.withColumnRenamed("id", "v"), "v").where("member <> query_id")

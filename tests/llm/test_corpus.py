@@ -497,6 +497,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(spark, spark.createDataFrame([], df.schema)).count() == 0
 
 
+def test_neighbours_when_the_search_finds_too_few(spark, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(600, 16))
+    x[50:70] = x[50]
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<double>")
+    none = lambda scratch, nodes, edges, queries: queries.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"))
+    monkeypatch.setattr(neighbours, "build_graph", lambda *a: None)
+    monkeypatch.setattr(neighbours, "search", none)
+    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    got = {}
+    for r in neighbours.nearest(spark, df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 600, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        assert got[q] == [int(i) for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+
+
 # -- the pipeline
 
 
