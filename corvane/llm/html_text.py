@@ -30,6 +30,8 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: What these elements hold is never text of the page (their end is looked for as it stands).
 RAW = frozenset("script style noscript template iframe object svg canvas textarea select noframes title audio video math xmp".split())
+#: Of those, the ones that can be empty (<svg/>) and stand in one another.
+FOREIGN = frozenset(("svg", "math"))
 #: Elements that stay open until they are closed; their names and attributes are the surroundings of a word.
 NESTING = frozenset("html body div section article main nav header footer aside form ul ol menu table blockquote figure dialog fieldset details center head button label address dl".split())
 #: Elements that end the block before them and after them.
@@ -87,6 +89,19 @@ class Weights:
         return sum(self.of.get(f, 0.0) for f in fs)
 
 
+def _foreign_end(page: str, at: int, name: str) -> int:
+    """Where an svg or math element that was opened before ``at`` ends: nested ones are counted, empty ones are not."""
+    open_ = 1
+    for m in re.compile(f"<(/?){name}(?![\\w:-])([^<>]*)>?", re.I).finditer(page, at):
+        if m[1]:
+            open_ -= 1
+        elif not m[2].rstrip().endswith("/"):
+            open_ += 1
+        if not open_:
+            return m.end()
+    return len(page)
+
+
 def walk(page: str):
     """("tag", (name, attributes, opens), stack) and ("text", text, stack) in page order.
 
@@ -110,8 +125,11 @@ def walk(page: str):
                     stack.pop()
                 stack.pop()
         elif name in RAW:
-            end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            if name not in FOREIGN:
+                end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else n
+            elif not (attrs or "").rstrip().endswith("/"):
+                at = _foreign_end(page, at, name)
             yield "tag", (name, "", False), stack
             continue
         elif name in NESTING and not (attrs or "").rstrip().endswith("/"):

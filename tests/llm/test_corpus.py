@@ -460,6 +460,13 @@ def test_main_text(page):
     assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == TEXT
 
 
+@pytest.mark.parametrize("name", ["svg", "math"])
+def test_empty_and_nested_foreign_elements(name):
+    before, after = ARTICLE.split("<p>Second")
+    for x in (f"<{name} class='i' />", f"<{name}/>", f"<{name}><g><{name} a=1>no</{name}></g>no words here</{name}>", f"<{name}><{name}/>no</{name}>"):
+        assert html_text.main_text(f"<html><body><article>{before}{x}<p>Second{after}</article></body></html>") == TEXT
+
+
 def test_pages(spark):
     data = [(1, "u", None, "x"), (2, "u", "", "x"), (3, None, "<nav>menu</nav>", "x"), (None, "u", "plain words", "x"), (5, "u", "<article><p>" + "w " * 200_000, "x"), (6, "u", "a < b &eacute;<p>c", "x"), (6, "u", "a < b &eacute;<p>c", "x")]
     got = html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string, text string")).collect()
