@@ -47,7 +47,7 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
         F.col("doc_id").alias("article_id"), F.col("source").alias("source_id"), F.col("source").isin("src0", "src1").alias("is_wire"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.substring("text", 1, 300).alias("excerpt"),
-        (F.col("doc_id") % 96).cast("double").alias("first_seen_hours"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), "lang",
+        (F.col("doc_id") % 96).cast("double").alias("first_seen_hours"), F.concat(F.lit("http://x/"), F.col("doc_id")).alias("url"), "lang", F.col("text").alias("body"),
     )
 
 
@@ -218,7 +218,7 @@ _COMP = ", e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, root) AS (S
 
 
 def _fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
-    a = articles(spark, sf)
+    a = articles(spark, sf).drop("body")
     return a.join(neardup.simhash_md5(a, "article_id", F.col("excerpt")), "article_id")
 
 
@@ -229,7 +229,7 @@ def simhash_md5(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("simhash_blake2b")
 def simhash_blake2b(spark: SparkSession, sf: str) -> DataFrame:
-    return articles(spark, sf).select("article_id", neardup.simhash_blake2b(F.col("excerpt")).alias("fp"))
+    return articles(spark, sf).select("article_id", neardup.simhash_blake2b(F.col("body")).alias("fp"))
 
 
 @register("neardup_pairs", _FP + _PAIRS + " SELECT a, b, d::INT AS distance FROM p WHERE (SELECT count(*) FROM f x WHERE x.doc_id = a) = 1")
@@ -445,7 +445,7 @@ def gazetteer_mentions(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("enriched")
 def enriched(spark: SparkSession, sf: str) -> DataFrame:
-    a = articles(spark, sf).withColumns({"raw_category": F.col("source_id"), "canonical_url": F.col("url")})
+    a = articles(spark, sf).withColumns({"raw_category": F.col("source_id"), "canonical_url": F.col("url"), "excerpt": F.col("body")})
     return enrich.enrich(a)
 
 

@@ -24,3 +24,15 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_texts_are_read(spark, tmp_path):
+    """Words after the 300th character count in the queries that no SQL binds to an excerpt."""
+    start = "a title\n" + "plain words here " * 30
+    texts = [start + "a b c d e f g h", start + "KPK periksa kasus suap di Medan. " * 9]
+    docs = [(i, t, "en", "src3", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    prints = {r.article_id: r.fp for r in entry.queries()["simhash_blake2b"](spark, str(tmp_path)).collect()}
+    assert prints[0] != prints[1]
+    found = {r.article_id: r for r in entry.queries()["enriched"](spark, str(tmp_path)).collect()}
+    assert not found[0].actors and found[1].actors and found[1].regions
