@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scratch import Scratch
-
-
-#: Edges up to which one task does all steps of a round, without any exchange.
-ONE_TASK = 200_000
+from ..plans.scratch import Scratch, small_side
 
 
 def _flipped(*pairs: tuple[str, str]) -> Column:
@@ -22,8 +18,7 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
     Alternates large-star and small-star steps, which take O(log^2 n) rounds at most. Minima are combined
     before each shuffle, and the joins back are plain equi-joins that adaptive execution can split when a node
     is hot. Labels never leave the cluster: the driver sees only a count and a checksum per round. ``root`` is
-    the smallest id reachable. Self-loops and repeated edges are harmless. The number of edges never grows, so
-    where there are few (ONE_TASK) the same steps run in one task.
+    the smallest id reachable. Self-loops and repeated edges are harmless.
     """
     cur = scratch.save(
         edges.where(F.col("a") != F.col("b"))
@@ -31,12 +26,10 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
         .distinct(),
         f"{tag}-0",
     )
-    few = cur.count() <= ONE_TASK
     before = None
     for i in range(1, max_rounds + 1):
-        base = cur.coalesce(1) if few else cur
         # large-star: every larger neighbour of u moves to u's smallest neighbour (or u itself)
-        both = base.select(_flipped(("a", "b"), ("b", "a"))).select("e.*")
+        both = cur.select(_flipped(("a", "b"), ("b", "a"))).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small-star: u and its smaller neighbours move to the smallest of them
@@ -46,7 +39,25 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
         scratch.drop(f"{tag}-{i - 1}")
         now = nxt.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         cur = nxt
-        if now == before:
+        if now == before or not now[0]:
             return cur.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
     raise RuntimeError("components did not converge")
+
+
+def extend_components(scratch: Scratch, labels: DataFrame | None, links: DataFrame, tag: str) -> DataFrame:
+    """Components ``labels(id, root)`` joined by further ``links(lo, hi)``: (id, root) for all ids but the roots.
+
+    Links are contracted first: of all links between two components one edge between their roots is left, so the
+    rounds that follow work on components, however many links hold them together.
+    """
+    if labels is None:
+        return components(scratch, links.select(F.col("lo").alias("a"), F.col("hi").alias("b")), tag)
+    edges = links.select("lo", "hi")
+    for end, name in (("lo", "a"), ("hi", "b")):
+        known = small_side(labels.select(F.col("id").alias(end), F.col("root").alias("_r")))
+        edges = edges.join(known, end, "left").withColumn(name, F.coalesce("_r", end)).drop("_r")
+    met = components(scratch, edges.select("a", "b"), f"{tag}-met")  # saved already
+    moved = small_side(met.select(F.col("id").alias("root"), F.col("root").alias("_to")))
+    out = labels.join(moved, "root", "left").select("id", F.coalesce("_to", "root").alias("root"))
+    return scratch.save(out.unionByName(met), tag)

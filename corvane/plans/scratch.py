@@ -7,21 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join may be broadcast (a row here is a few dozen bytes).
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side of a join may be broadcast, by its rows' own sizes.
+BROADCAST_BYTES = 16 << 20
+#: What a row takes beside its values.
+_ROW_BYTES = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir`` as the session has it. Only where that is unset, as in tests on one
-    machine, a temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` as the session has it. Only where that is unset and everything runs on one
+    machine, as in tests, a temporary folder is made and set; on a cluster it has to be given.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,7 +36,7 @@ class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
     A written table cuts lineage, survives the loss of any executor, and holds narrow columns only. ``drop``
-    removes a table that no later step reads; whatever is left goes when the session's JVM ends.
+    removes tables that no later step reads; whatever is left goes when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -53,11 +58,39 @@ class Scratch:
     def load(self, tag: str, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.path(tag))
 
-    def drop(self, tag: str) -> None:
-        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(tag)), True)
+    def small(self, df: DataFrame, tag: str) -> DataFrame:
+        """``df`` as a saved table, marked for broadcast if it is small: it is computed once, not again to be counted."""
+        return small_side(self.save(df, tag))
 
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(tag)), True)
 
-def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is: the join then shuffles."""
-    n = df.limit(limit + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+
+def _width(schema: T.StructType) -> tuple[int, list]:
+    """Bytes of a row's fixed part, and expressions for the bytes of what varies."""
+    fixed, varying = _ROW_BYTES + 8 * len(schema), []
+    for f in schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            varying.append(F.octet_length(c))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.NumericType):
+            varying.append(8 * F.size(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            varying.append(F.octet_length(F.to_json(F.struct(c))))
+    return fixed, varying
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows have at most ``limit`` bytes together, else as it is: the join then shuffles.
+
+    No more rows are counted than can fit, so the count is cheap however large the side is.
+    """
+    fixed, varying = _width(df.schema)
+    most = limit // fixed + 1
+    rows = df.limit(most)
+    if not varying:
+        return F.broadcast(df) if rows.count() < most else df
+    total = F.sum(sum((F.coalesce(v, F.lit(0)) for v in varying), F.lit(0)).cast("long") + fixed)
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(total, F.lit(0))).first()
+    return F.broadcast(df) if n < most and size <= limit else df
