@@ -7,57 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_side
+from .common import Scratch, extend_components, small_side
 
-#: Rounds of linking to pivots before what is left is compared pair by pair.
+#: Rounds of linking to pivots; what is left then goes to ``rest``.
 ROUNDS = 4
 
 Verify = Callable[[DataFrame], DataFrame]
 
 
 def shared_buckets(scratch: Scratch, members: DataFrame) -> DataFrame:
-    """The rows of ``members(key, c)`` whose key has at least two rows, with ``deg``: how much company c has.
+    """The distinct rows of ``members(key, c)`` whose key has more than one c, with ``deg``: how much company c has.
 
     Counts are combined before the shuffle; one hot key is one row of the counts, and the join back can be split.
     """
-    many = scratch.save(members.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).where("cnt > 1"), "many")
-    kept = scratch.save(members.join(small_side(many), "key"), "kept")
+    many = members.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    many = scratch.save(many.where("lo < hi").select("key", "cnt"), "many")
+    kept = scratch.save(members.join(small_side(many), "key").select("key", "c", "cnt").distinct(), "kept")
+    scratch.drop("many")
     deg = kept.groupBy("c").agg(F.sum("cnt").alias("deg"))
-    out = scratch.save(kept.select("key", "c").join(deg, "c"), "members-0")
+    out = scratch.save(kept.select("key", "c").join(deg, "c"), "members")
     scratch.drop("kept")
-    scratch.drop("many")
     return out
 
 
 def link_groups(
-    scratch: Scratch, members: DataFrame, verify: Verify, rest: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS
+    scratch: Scratch, members: DataFrame, verify: Verify, rest: Callable[[DataFrame], DataFrame], labels: DataFrame | None = None, rounds: int = ROUNDS
 ) -> DataFrame:
     """Components of the verified links inside buckets: rows (id, root) for all but the roots.
 
     ``members(key, c, deg)`` has a row for each element of each bucket; ``verify`` gets pairs (lo, hi) and returns
-    those that are links. In each round every bucket that still holds more than one component links its members to
-    its pivot, the member with the most company, which in a group of copies is the one that was changed least. The
-    pivot has then been compared with everything in its bucket and leaves it. A bucket of n members costs n
-    comparisons a round, not n^2.
+    those that are links; ``labels`` are components known before. In each round every bucket that still holds more
+    than one component links its members to its pivot, the member with the most company, which in a group of copies
+    is the one that was changed least. The pivot has then been compared with everything in its bucket and leaves it.
+    A bucket of n members costs n comparisons a round, not n^2. Of the links only those between different components
+    are used, one for each two components.
 
     After the last round a bucket holds its main component (the last pivot's) and strays. ``rest`` gets what is left
     of those buckets (key, c, root, stray) and returns pairs (lo, hi) of a stray and another member of another root;
     it must return every pair that shares a bucket and is a link, and may leave out what cannot be one.
     """
-    labels, links, tested = None, None, None
+    tested: DataFrame | None = None
 
     def record(pairs: DataFrame, tag: str) -> bool:
-        nonlocal labels, links, tested
+        nonlocal labels, tested
         if tested is not None:
-            pairs = pairs.join(tested, ["lo", "hi"], "left_anti")
+            pairs = pairs.join(small_side(tested), ["lo", "hi"], "left_anti")
         pairs = scratch.save(pairs, f"pairs-{tag}")
         if pairs.isEmpty():
             return False
         found = scratch.save(verify(pairs), f"links-{tag}")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
         if not found.isEmpty():
-            labels = components(scratch, links.select(F.col("lo").alias("a"), F.col("hi").alias("b")), f"cc-{tag}")
+            labels = extend_components(scratch, labels, found, f"cc-{tag}")
+        failed = pairs.join(small_side(found), ["lo", "hi"], "left_anti")  # links do not come again: their roots are one
+        failed = scratch.save(failed, f"failed-{tag}")
+        scratch.drop(f"pairs-{tag}", f"links-{tag}")
+        tested = failed if tested is None else tested.union(failed)
         return True
 
     def rooted(rows: DataFrame) -> DataFrame:
@@ -65,13 +69,20 @@ def link_groups(
             return rows.withColumn("root", F.col("c"))
         return rows.join(small_side(labels.withColumnRenamed("id", "c")), "c", "left").withColumn("root", F.coalesce("root", "c"))
 
+    last: str | None = None
     for r in range(1, rounds + 1):
         act = rooted(members)
-        pivots = act.groupBy("key").agg(
-            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max(F.struct("deg", (-F.col("c")).alias("n"), "root")).alias("_p")
+        # most company first; equals by their ids' low bits
+        first = F.shiftleft(F.col("deg"), 24) + F.col("c").bitwiseAND(F.lit((1 << 24) - 1))
+        pivots = act.withColumn("_o", first).groupBy("key").agg(
+            F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.max_by("c", "_o").alias("p"), F.max_by("root", "_o").alias("p_root")
         )
-        pivots = pivots.where("_lo < _hi").select("key", (-F.col("_p.n")).alias("p"), F.col("_p.root").alias("p_root"))
-        met = scratch.save(act.join(small_side(pivots), "key"), f"met-{r}")
+        pivots = pivots.where("_lo < _hi").select("key", "p", "p_root")
+        met = scratch.save(act.join(scratch.small(pivots, f"pivots-{r}"), "key"), f"met-{r}")
+        scratch.drop(f"pivots-{r}")
+        if last:
+            scratch.drop(last)
+        last = f"met-{r}"
         members = met.where("c <> p").select("key", "c", "deg", "p_root")
         if not record(met.where("root <> p_root").select(F.least("p", "c").alias("lo"), F.greatest("p", "c").alias("hi")).distinct(), str(r)):
             break
@@ -79,9 +90,11 @@ def link_groups(
     if "p_root" in members.columns and not members.isEmpty():
         main = members.select("key", F.col("p_root").alias("c")).distinct()  # where the last pivot's component is now
         main = rooted(main).select("key", F.col("root").alias("main"))
-        left = rooted(members.drop("p_root")).join(small_side(main), "key")
+        left = rooted(members.drop("p_root")).join(scratch.small(main, "main"), "key")
         left = scratch.save(left.select("key", "c", "root", (F.col("root") != F.col("main")).alias("stray")), "left")
-        keys = small_side(left.where("stray").select("key").distinct())
+        keys = scratch.small(left.where("stray").select("key").distinct(), "stray-keys")
         left = scratch.save(left.join(keys, "key", "left_semi"), "strays")
         record(rest(left).distinct(), "last")
+        scratch.drop("left", "strays", "main", "stray-keys")
+    scratch.drop(*([last] if last else []), "members", *[f"failed-{r}" for r in (*range(1, rounds + 1), "last")])
     return labels if labels is not None else members.select(F.col("c").alias("id"), F.col("c").alias("root")).limit(0)

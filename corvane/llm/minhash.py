@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_side
+from .common import Scratch, extend_components, small_side
 from .linking import link_groups, shared_buckets
 from .wordhash import chunks, mix, word_hashes
 
@@ -164,7 +164,7 @@ def near_duplicates(
     percent * |union|; component_id is the smallest doc_id that can be reached, and kept marks that document.
 
     Null texts and texts without words have an empty set and are linked with nothing. Rows that repeat a doc_id with
-    different texts are taken as one document that carries the links of all of them; each row is returned. Rows with a
+    different texts are one document, which carries the links of all of them; each row is returned. Rows with a
     null doc_id take no part: their component_id is null and they are kept. An empty table gives no rows. Columns
     other than doc_id and text are not looked at.
     """
@@ -176,18 +176,25 @@ def near_duplicates(
     full = sized.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("c"))
     classes = scratch.save(classes, "classes")
-    members = full.join(classes, ["d1", "d2"]).where("doc_id = c").select("c", F.explode("keys").alias("key")).distinct()
+    # a doc_id with several texts has several classes, which are one document's: they are linked from the start
+    owners = full.join(classes, ["d1", "d2"]).select("doc_id", "c")
+    several = scratch.save(owners.groupBy("doc_id").agg(F.min("c").alias("lo"), F.max("c").alias("most")).where("lo < most"), "several")
+    labels = None
+    if not several.isEmpty():
+        own = owners.join(small_side(several), "doc_id").where("c > lo").select("lo", F.col("c").alias("hi")).distinct()
+        labels = extend_components(scratch, None, own, "owners")
+    members = full.join(classes, ["d1", "d2"]).where("doc_id = c").select("c", F.explode("keys").alias("key"))
     members = shared_buckets(scratch, members)
-    ids = scratch.save(members.select(F.col("c").alias("doc_id")).distinct(), "ids")
-    texts = known.join(small_side(ids), "doc_id", "left_semi")
+    texts = known.join(scratch.small(members.select(F.col("c").alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi")
     sets = texts.mapInArrow(lambda b: sets_of(b, k), "c long, x long, s array<long>")
     sets = scratch.save(sets.dropDuplicates(["c", "x"]).select("c", "s"), "sets")
 
+    rounds = iter(range(1000))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        near = small_side(pairs)
-        one = sets.select(F.col("c").alias("lo"), F.col("s").alias("a")).join(near, "lo")
-        two = sets.select(F.col("c").alias("hi"), F.col("s").alias("b")).join(small_side(pairs.select("hi").distinct()), "hi", "left_semi")
-        both = one.join(two, "hi")
+        one = sets.select(F.col("c").alias("lo"), F.col("s").alias("a")).join(small_side(pairs), "lo")
+        his = scratch.small(pairs.select("hi").distinct(), f"his-{next(rounds)}")
+        both = one.join(sets.select(F.col("c").alias("hi"), F.col("s").alias("b")).join(his, "hi", "left_semi"), "hi")
         common = F.size(F.array_intersect("a", "b"))
         union = F.size("a") + F.size("b") - common
         return both.where(100 * common >= percent * union).select("lo", "hi").distinct()
@@ -200,7 +207,7 @@ def near_duplicates(
         reach it. What one document alone has comes first, so a set that was changed too much shares none there.
         """
         docs_left = left.groupBy("c").agg(F.max("root").alias("root"), F.max("stray").alias("stray"))
-        own = sets.join(small_side(docs_left), "c").select("c", "root", "stray", F.size("s").alias("n"), F.explode("s").alias("x"))
+        own = sets.join(scratch.small(docs_left, "docs-left"), "c").select("c", "root", "stray", F.size("s").alias("n"), F.explode("s").alias("x"))
         df = own.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
         order = Window.partitionBy("c").orderBy("df", "x")
         first = own.join(df, "x").withColumn("i", F.row_number().over(order) - 1)
@@ -212,11 +219,42 @@ def near_duplicates(
         pairs = stray.join(other, (F.col("x") == F.col("x2")) & (F.col("root") != F.col("root2")) & once & enough)
         return pairs.select(F.least("c", "c2").alias("lo"), F.greatest("c", "c2").alias("hi"))
 
-    labels = link_groups(scratch, members, verify, rest)
+    labels = link_groups(scratch, members, verify, rest, labels)
+    # several classes can have the same name c: they are of one doc_id, and so in one component
     named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", F.coalesce("root", "c").alias("root"))
-    # a doc_id with several texts has several classes; its document belongs where the smallest of them leads
-    out = sized.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    named = scratch.save(named, "named")
+    sized = scratch.save(sized.drop("keys"), "sized")
+    scratch.drop("sketches", "classes", "several", "ids", "sets", "docs-left", "prefixes", *[f"his-{k}" for k in range(next(rounds))])
+    out = sized.join(named, ["d1", "d2"], "left")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = out.withColumn("component_id", F.when(empty, F.col("doc_id")).otherwise(F.col("root")))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
+
+    Here each different (doc_id, text) is a document of its own, so a text never goes because another text has the same
+    doc_id. Of rows that repeat doc_id and text, and of several texts with the smallest doc_id, one stays. Null doc_ids
+    come after all others. Rows without words are linked with nothing and all stay. Columns are unchanged.
+    """
+    scratch = Scratch(spark, "keep")
+    key = F.xxhash64("doc_id", "text")
+    found = near_duplicates(spark, docs.select(key.alias("doc_id"), "text"), k=k, percent=percent)
+    found = scratch.save(found.where("n_shingles > 0").select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")), "found")
+    groups = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # rows alone in their group stay
+    several = scratch.save(found.join(scratch.small(groups, "groups"), "root", "left_semi").distinct(), "several")
+    ids = docs.select(key.alias("key"), "doc_id").join(small_side(several), "key")
+    first = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key")
+    kept = ids.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.key").alias("key"))
+    kept = scratch.save(kept.withColumn("kept", F.lit(True)), "kept")
+    marks = scratch.small(several.select("key").join(small_side(kept), "key", "left"), "marks")
+    whole = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_d"))
+    marked = whole.join(marks.withColumn("_met", F.lit(True)), whole["_key"] == marks["key"], "left")
+    alone = marked.where("_met IS NULL").select("_d.*")
+    # few rows have a kept key more than once; one of them stays
+    copy = F.row_number().over(Window.partitionBy("_key").orderBy(F.to_json("_d")))
+    one = marked.where("kept").withColumn("_copy", copy).where("_copy = 1").select("_d.*")
+    scratch.drop("found", "groups", "several", "kept")
+    return alone.unionByName(one)

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bitplanes, html_text, langid, lines, minhash, mixing, neighbours, pieces, substrings, winnowing
-from corvane.llm.common import Scratch
 from corvane.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c string, key string, row string, tail boolean"
@@ -122,6 +121,16 @@ def test_null_ids_and_pivots(spark):
     assert got == {(i, 100) for i, _ in near} | {(500, 100), (None, None)}
 
 
+def test_texts_that_share_a_doc_id(spark):
+    a, b = "a b c d e f g h i j k l", "m n o p q r s t u v w x y z"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (3, a), (None, a), (13, None), (13, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark, df, k=2).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (None, None, True), (13, 13, True)}
+    # a filter takes each text for itself: neither text is lost
+    left = sorted((r.doc_id, r.text) for r in minhash.keep_one(spark, df).collect())
+    assert left == [(3, a), (5, b), (13, None), (13, None)]
+
+
 # -- 7
 
 
@@ -224,25 +233,28 @@ def test_lines(spark, none):
     assert got[4].text == "" and got[4].n_removed == 1  # one word of eighty differs by a letter
     assert got[5].text is None and got[5].n_lines == 0 and got[6].text == "" and got[7].text == "\n\n"
     assert got[8].text == "same" and got[8].n_removed == 2 and got[9].text == ""
+    twice = spark.createDataFrame([(1, "one line of text\n--"), (1, "one line of text\n--"), (2, "x")], "doc_id long, text string")
+    assert sorted(r.text for r in lines.dedup_lines(spark, twice).collect()) == ["--", "one line of text\n--", "x"]  # one occurrence stays
     assert got[None].text == "only the null id has this"
     kept = lines.dedup_lines(spark, df, columns=True)
     assert kept.columns == df.columns and sorted((r.doc_id or 0, r.line) for r in kept.collect()) == [(0, "j"), (1, "a"), (2, "b"), (3, "c"), (5, "e"), (6, "f"), (7, "g"), (8, "h")]
     assert lines.dedup_lines(spark, none).count() == 0 and lines.dedup_lines(spark, none, columns=True).columns == none.columns
 
 
-@pytest.mark.parametrize("run", [lines.RUN, 500, 3])
-def test_simhash_votes(spark, run):
-    df = spark.createDataFrame([(1, "a b c d e"), (2, "a"), (3, "a b b b c " * 400 + "z")], "id long, norm string")
-    h = {}
-    for r in spark.createDataFrame([(w,) for w in "a b c d e z".split()], "w string").select("w", F.array(*[F.xxhash64("w", F.lit(i)) for i in range(lines.HASHES)]).alias("h")).collect():
-        h[r.w] = [x & (2**64 - 1) for x in r.h]
-    for r in lines.simhash_keys(Scratch(spark, "t"), df.withColumn("norm", F.trim("norm")), run).collect():
-        words = {1: "a b c d e", 2: "a", 3: "a b b b c " * 400 + "z"}[r.id].split()
-        want = []
-        for i in range(lines.HASHES):
-            bits = sum(1 << j for j in range(64) if 2 * sum(h[w][i] >> j & 1 for w in words) > len(words))
-            want += [(2 * i << 32) + (bits & (2**32 - 1)), ((2 * i + 1) << 32) + (bits >> 32)]
-        assert list(r["keys"]) == want
+def test_simhash_votes(spark):
+    """Both halves of a line's SimHash against a count of votes, bit by bit."""
+    texts = ["alpha beta gamma delta epsilon", "alone", "a b b b c " * 400 + "z", "word " * 9, " ".join(f"w{i}" for i in range(40)), "one two"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    feats = lines.occurrences(df).select("doc_id", lines.features(F.col("words")).alias("f"), "words").collect()
+    keyed = {r.doc_id: r for r in lines.keyed_lines(df).collect()}
+    for r in feats:
+        assert list(r.f) == sorted(r.f) and len(r.f) == len(r.words)
+        sample = [x for x in r.f[: lines.SAMPLE] if x != lines._NONE]
+        assert keyed[r.doc_id].n == len(sample) and set(sample[: lines.KEYS]) <= set(keyed[r.doc_id].grams)
+        hashed = spark.createDataFrame([(x,) for x in sample], "f long").select(F.xxhash64("f", F.lit(0)).alias("a"), F.xxhash64("f", F.lit(1)).alias("b")).collect()
+        for half, got in (("a", keyed[r.doc_id].s0), ("b", keyed[r.doc_id].s1)):
+            want = sum(1 << j for j in range(64) if 2 * sum((h[half] & (2**64 - 1)) >> j & 1 for h in hashed) > len(sample))
+            assert got & (2**64 - 1) == want
 
 
 def test_lines_with_changed_words_and_letters(spark):
