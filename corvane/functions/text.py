@@ -69,7 +69,13 @@ def canonical_url(url: Column) -> Column:
         return part.contains("=") & (F.substr(part, F.instr(part, "=") + 1) != "") & ~tracks
 
     kept = F.filter(F.split(query, "&"), keep)
-    coded = F.transform(kept, lambda p: F.concat(F.url_encode(decoded(p, 0)), F.lit("="), F.url_encode(decoded(p, 1))))
+    def encoded(value: Column) -> Column:
+        """Form encoding by RFC 3986: ~ stands for itself, * does not; the JVM's encoder has it the other way round."""
+        return F.replace(F.replace(F.url_encode(value), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+
+    coded = F.transform(kept, lambda p: F.concat(encoded(decoded(p, 0)), F.lit("="), encoded(decoded(p, 1))))
+    scheme = F.regexp_extract(path, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    path = F.when(scheme != "", F.concat(F.lower(scheme), F.substr(path, F.length(scheme) + 1))).otherwise(path)
     return F.when(F.size(coded) > 0, F.concat(path, F.lit("?"), F.array_join(coded, "&"))).otherwise(path)
 
 

@@ -45,18 +45,23 @@ def latest(versions: DataFrame, key: str = "entity_id", by: str = "version") ->
 def apply_requests(registry: DataFrame, requests: DataFrame) -> DataFrame:
     """Registry after data-subject requests(entity_id, action, display, legal_status, version).
 
-    "erase" suppresses the entity, "rectify" replaces display and legal status where they are given. Protection flags
-    and whatever a request does not name are carried forward.
+    All requests of an entity count, in the order of their versions: "erase" suppresses it for good, whatever is
+    rectified later; the last display given replaces the old one, and so does the last legal status that a "rectify"
+    gives. Protection flags and whatever no request names are carried forward.
     """
-    last = latest(requests)
-    r = registry.join(last.select("entity_id", "action", F.col("display").alias("_d"), F.col("legal_status").alias("_l")), "entity_id", "full")
     fixed = F.col("action") == "rectify"
+    told = requests.groupBy("entity_id").agg(
+        F.max_by("display", F.when(F.col("display").isNotNull(), F.col("version"))).alias("_d"),
+        F.max_by("legal_status", F.when(fixed & F.col("legal_status").isNotNull(), F.col("version"))).alias("_l"),
+        F.max(F.col("action") == "erase").alias("_erased"),
+    )
+    r = registry.join(told, "entity_id", "full")
     return r.select(
         "entity_id",
-        F.when(fixed, F.coalesce("_d", "display")).otherwise(F.coalesce("display", "_d", "entity_id")).alias("display"),
+        F.coalesce("_d", "display", "entity_id").alias("display"),
         F.coalesce("kind", F.lit("PERSON")).alias("kind"),
-        F.when(fixed, F.coalesce("_l", "legal_status")).otherwise(F.col("legal_status")).alias("legal_status"),
-        (F.coalesce("suppressed", F.lit(False)) | F.coalesce(F.col("action") == "erase", F.lit(False))).alias("suppressed"),
+        F.coalesce("_l", "legal_status").alias("legal_status"),
+        (F.coalesce("suppressed", F.lit(False)) | F.coalesce("_erased", F.lit(False))).alias("suppressed"),
         F.coalesce("is_minor", F.lit(False)).alias("is_minor"),
         F.coalesce("is_sensitive_victim", F.lit(False)).alias("is_sensitive_victim"),
     )

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch, small_side
 
 
+#: Edges that make one partition (a few MB). A table of no more is one partition, whose steps need no exchange.
+PARTITION_EDGES = 100_000
+
+
 def _flipped(*pairs: tuple[str, str]) -> Column:
     return F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in pairs])).alias("e")
 
@@ -18,7 +22,8 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
     Alternates large-star and small-star steps, which take O(log^2 n) rounds at most. Minima are combined
     before each shuffle, and the joins back are plain equi-joins that adaptive execution can split when a node
     is hot. Labels never leave the cluster: the driver sees only a count and a checksum per round. ``root`` is
-    the smallest id reachable. Self-loops and repeated edges are harmless.
+    the smallest id reachable. Self-loops and repeated edges are harmless. The number of edges never grows, and tables
+    have partitions by their size, not by ``spark.sql.shuffle.partitions``: few edges are not dealt to many tasks.
     """
     cur = scratch.save(
         edges.where(F.col("a") != F.col("b"))
@@ -26,8 +31,9 @@ def components(scratch: Scratch, edges: DataFrame, tag: str = "cc", max_rounds:
         .distinct(),
         f"{tag}-0",
     )
-    before = None
+    before, size = None, cur.count()
     for i in range(1, max_rounds + 1):
+        cur = cur.coalesce(max(1, -(-size // PARTITION_EDGES)))
         # large-star: every larger neighbour of u moves to u's smallest neighbour (or u itself)
         both = cur.select(_flipped(("a", "b"), ("b", "a"))).select("e.*")
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -73,9 +73,10 @@ def test_compliance(spark):
 
 def test_requests_carry_flags(spark):
     reg = spark.createDataFrame([("a", "A", "PERSON", "tersangka", False, True, False), ("b", "B", "PERSON", None, False, False, False)], "entity_id string, display string, kind string, legal_status string, suppressed boolean, is_minor boolean, is_sensitive_victim boolean")
-    req = spark.createDataFrame([("a", "rectify", None, "bebas", 1), ("a", "erase", None, None, 2), ("b", "rectify", "B2", "sp3", 1)], "entity_id string, action string, display string, legal_status string, version int")
+    req = spark.createDataFrame([("a", "rectify", None, "bebas", 1), ("a", "erase", None, None, 2), ("b", "rectify", "B2", "sp3", 1), ("c", "erase", None, None, 1), ("c", "rectify", "C2", "bebas", 2)], "entity_id string, action string, display string, legal_status string, version int")
     got = {r.entity_id: r for r in compliance.apply_requests(reg, req).collect()}
-    assert got["a"].suppressed and got["a"].is_minor and got["a"].legal_status == "tersangka"
+    assert got["a"].suppressed and got["a"].is_minor and got["a"].legal_status == "bebas"  # a rectification outlives an erasure
+    assert got["c"].suppressed and got["c"].display == "C2" and got["c"].legal_status == "bebas"  # and the other way round
     assert got["b"].display == "B2" and got["b"].legal_status == "sp3" and not got["b"].suppressed
 
 
