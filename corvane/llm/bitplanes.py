@@ -117,8 +117,9 @@ class Encoder:
     """Text to token ids with the tokenizers library.
 
     The tokenizer never merges over the edge of a pre-token. Texts are cut at edges that are certain (white space, and
-    Latin letters before ASCII characters that are none), and each distinct piece goes through the library once.
-    Strings of special tokens are ordinary text. Tasks are the parallelism, so the library runs in one thread.
+    Latin letters before ASCII characters that are none), and each distinct piece goes through the library once. Texts
+    with the string of a special or added token, which the library finds before it cuts, go through it as a whole. Tasks
+    are the parallelism, so the library runs in one thread.
     """
 
     def __init__(self, path: str):
@@ -126,12 +127,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else (lambda text: None)
         piece = f" ?[{LATIN}]++(?![^\\x00-\\x7f])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
         self.cut = re.compile(piece).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
+        if self.added(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
         pieces, known = self.cut(text), self.known
         new = list({p for p in pieces if p not in known})
         if new:

@@ -418,7 +418,8 @@ def test_plane_files(spark, docs, rows, none, mode, monkeypatch):
 
     path = tokenizer_file("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    rows = [*rows, (100_000, "x <|endoftext|> y", "en", "src0", 1, "c", "k", "r", True)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
     monkeypatch.setattr(bitplanes, "SHARD_IDS", 4000)
     got = sorted(bitplanes.token_files(spark, docs, path, mode).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted(r[0] for r in rows)
@@ -449,6 +450,8 @@ def test_cut_pieces_equal_whole_texts():
     for _ in range(2000):
         t = "".join(rng.choice(" a\n\tb.1'sé\x1c\x85　—́漢,×ªt_") for _ in range(24))
         assert e.encode(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
+    for t in ("x <|endoftext|> y", "<|endoftext|>", " <|endoftext|>a", "<|endoftext|"):
+        assert e.encode(t).tolist() == e.tok.encode(t, add_special_tokens=False).ids
 
 
 # -- 3
