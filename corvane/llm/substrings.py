@@ -52,6 +52,12 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _cuts(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that ascending hashes fall into, and where each begins (with the end): empty buckets cost nothing."""
+    full, first = np.unique(_bucket_of(distinct, buckets), return_index=True)
+    return full, np.r_[first, len(distinct)]
+
+
 def _own(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes in ascending order, the place of each window's hash among them, and how often each occurs."""
     return np.unique(hashes, return_inverse=True, return_counts=True)
@@ -69,14 +75,13 @@ def _in_order(table: pa.Table) -> pa.Table:
 def send(table: pa.Table, size: int, buckets: int) -> pa.Table:
     """A group's distinct window hashes: one row per bucket."""
     distinct, _, _ = _own(_windows(_texts(_in_order(table)), size)[0])
-    cut = np.searchsorted(_bucket_of(distinct, buckets), np.arange(buckets + 1))
+    full, cut = _cuts(distinct, buckets)
     low = distinct.view(np.uint8).reshape(-1, 8)[:, :_SENT]
-    full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
     return pa.table(
         {
             "bucket": pa.array(full, pa.int64()),
             "g": pa.array([table.column("g")[0].as_py()] * len(full), pa.int64()),
-            "sent": pa.array([low[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
+            "sent": pa.array([low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
         }
     )
 
@@ -124,10 +129,12 @@ def remove(docs: pa.Table, answers: pa.Table, size: int, buckets: int, kind: pa.
     hashes, where, at = _windows(texts, size)
     distinct, place, count = _own(hashes)
     more = count > 1
-    cut = np.searchsorted(_bucket_of(distinct, buckets), np.arange(buckets + 1))
+    full, cut = _cuts(distinct, buckets)
+    spot = dict(zip(full.tolist(), range(len(full)), strict=True))
     for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-        n = cut[b + 1] - cut[b]
-        more[cut[b] : cut[b + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        k = spot[b]
+        n = cut[k + 1] - cut[k]
+        more[cut[k] : cut[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
     hit = more[place] if len(place) else np.zeros(0, bool)
     where, at = where[hit], at[hit]
     begin = np.searchsorted(where, np.arange(len(texts) + 1))
