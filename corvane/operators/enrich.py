@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,17 +29,18 @@ def enrich(articles: DataFrame, entities=ENTITIES, places=REGIONS) -> DataFrame:
     """article_id, language, topics, actors, regions, quotes of articles(article_id, title, excerpt, raw_category, canonical_url).
 
     Language and topics are plain expressions; one Arrow UDF reads names, regions and quotes, and builds its matchers
-    once per batch of tasks. Gazetteers travel with the function; they are a few dozen entries.
+    once per task. Gazetteers travel with the function; they are a few dozen entries.
     """
 
     @F.pandas_udf(f"struct<actors:{ACTORS},regions:{PLACES},quotes:{QUOTES}>")
-    def read(title: pd.Series, body: pd.Series, url: pd.Series) -> pd.DataFrame:
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         who, where = names.Gazetteer(entities), names.Gazetteer(region_entries(places))
-        rows = []
-        for t, b, u in zip(title, body, url, strict=True):
-            text = f"{t}. {b}"
-            rows.append({"actors": names.actors(text, who), "regions": names.regions(t, b, where), "quotes": names.quotes(text, u or "", who)})
-        return pd.DataFrame(rows, columns=["actors", "regions", "quotes"])
+        for title, body, url in batches:
+            rows = []
+            for t, b, u in zip(title, body, url, strict=True):
+                text = f"{t}. {b}"
+                rows.append({"actors": names.actors(text, who), "regions": names.regions(t, b, where), "quotes": names.quotes(text, u or "", who)})
+            yield pd.DataFrame(rows, columns=["actors", "regions", "quotes"])
 
     a = articles.select(
         "article_id", clean_text(F.coalesce("title", F.lit(""))).alias("t"), clean_text(F.coalesce("excerpt", F.lit(""))).alias("b"), "raw_category", "canonical_url"
@@ -54,8 +57,9 @@ def mentions(rows: DataFrame, key: str, text: str, entries) -> DataFrame:
     """(key, entity_id, start, end) of all gazetteer hits in a text column."""
 
     @F.pandas_udf("array<struct<entity_id:string,start:int,end:int>>")
-    def find(texts: pd.Series) -> pd.Series:
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         g = names.Gazetteer(entries)
-        return texts.map(lambda t: [{"entity_id": h.owner, "start": h.start, "end": h.end} for h in g.find(t or "")])
+        for texts in batches:
+            yield texts.map(lambda t: [{"entity_id": h.owner, "start": h.start, "end": h.end} for h in g.find(t or "")])
 
     return rows.select(key, F.explode(find(F.col(text))).alias("m")).select(key, "m.*")
