@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .labelled_pages import PAGES
 
+#: A quote opens a value only right after "="; elsewhere, as in an unquoted value, it is a character like any other.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*"|=\s*+'[^']*'|[^>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<""",
     re.S,
 )
 _ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -110,6 +111,7 @@ def walk(page: str):
     at, n = 0, len(page)
     stack: list[tuple[tuple[str, ...], bool]] = []
     names: list[str] = []
+    open_names: Counter[str] = Counter()
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -120,10 +122,12 @@ def walk(page: str):
             continue
         close, attrs, name = m[1] if m[2] else m[4], m[3] if m[2] else m[6], name.lower()
         if close:
-            if name in NESTING and name in names:
-                while names.pop() != name:
+            if open_names[name]:
+                closed = None
+                while closed != name:
+                    closed = names.pop()
+                    open_names[closed] -= 1
                     stack.pop()
-                stack.pop()
         elif name in RAW:
             if name not in FOREIGN:
                 end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(page, at)
@@ -135,6 +139,7 @@ def walk(page: str):
         elif name in NESTING and not (attrs or "").rstrip().endswith("/"):
             stack.append(features(name, attrs or ""))
             names.append(name)
+            open_names[name] += 1
         yield "tag", (name, attrs or "", not close), stack
 
 
