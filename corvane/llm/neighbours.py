@@ -7,7 +7,7 @@ compared, and only those closer than what a node has already are passed on. Roun
 
 A query starts at its own node's neighbours and keeps a list of the nearest nodes seen; each step expands the nearest
 ones that have not been expanded, until there is none. A bounded number of queries is answered by brute force as well;
-if the search has found too few of their neighbours, all queries are answered so.
+while the search finds too few of their neighbours, it goes on with longer lists, up to lists of all nodes.
 
 Scale: parts (cells around centres, large ones divided) say where a node's neighbourhood is worked on, so that a
 round ships each vector once to each part that needs it, not once to each edge. A task holds one part. The centres
@@ -38,8 +38,8 @@ PASSED = 8
 SETTLED = 0.03
 #: Results per query.
 TOP = 10
-#: Queries that are also answered by brute force, the recall they must have, and queries that go to a task together.
-MEASURED, WANTED, BLOCK = 100, 0.9, 4096
+#: Queries that are also answered by brute force, to measure the search, and the recall they must have.
+MEASURED, WANTED = 100, 0.93
 
 
 def valid(vec: Column) -> Column:
@@ -199,15 +199,17 @@ def build_graph(scratch: Scratch, nodes: DataFrame, n: int) -> DataFrame:
     return edges
 
 
-def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
-    """Nearest nodes (q, v, d) of the nodes ``queries(q)``, found by greedy search; q's own node is among them."""
+def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame, keep: int = KEEP) -> DataFrame:
+    """Nearest nodes (q, v, d) of the nodes ``queries(q)``, found by greedy search with lists of ``keep`` nodes; q's own
+    node is among them. Without new nodes to expand the search is over: steps are not limited, but for what ``keep`` is."""
     dist = _distance()
     graph = scratch.save(_both_ways(edges).select("u", "v"), "graph")
     asked = scratch.save(queries.join(nodes.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q"), "asked")
     state = scratch.save(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "state-0")
     near = Window.partitionBy("q").orderBy("d", "v")
-    for s in range(1, STEPS + 1):
-        ranked = state.where("NOT done").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= EXPAND)
+    expand = max(EXPAND, keep * EXPAND // KEEP)
+    for s in range(1, STEPS * max(1, keep // KEEP) + 1):
+        ranked = state.where("NOT done").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= expand)
         front = scratch.save(ranked.select("q", "v"), "front")
         if front.isEmpty():
             break
@@ -217,7 +219,7 @@ def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFr
         seen = seen.select("q", "v", dist("vec", "qv").alias("d"), F.lit(False).alias("done"))
         marked = state.join(small_side(front.withColumn("now", F.lit(True))), ["q", "v"], "left")
         marked = marked.select("q", "v", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        every = marked.unionByName(seen).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= KEEP).drop("_r")
+        every = marked.unionByName(seen).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= keep).drop("_r")
         state = scratch.save(every, f"state-{s}")
         scratch.drop(f"state-{s - 1}")
     return state.select("q", "v", "d")
@@ -247,27 +249,18 @@ def brute_force(nodes: DataFrame, asked: list[tuple[int, list[float]]], k: int)
     return met.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k).drop("_r")
 
 
-def recall(scratch: Scratch, nodes: DataFrame, found: DataFrame, queries: DataFrame, k: int) -> float:
-    """Share of the k nearest nodes of up to MEASURED of ``queries(q)`` that ``found(q, v, d)`` holds."""
+def sample_answers(scratch: Scratch, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest nodes (q, v) of up to MEASURED of ``queries(q)``, by brute force."""
     drawn = queries.orderBy(F.xxhash64("q"), "q").limit(MEASURED).join(nodes.select(F.col("id").alias("q"), "vec"), "q")
     asked = [(r["q"], r["vec"]) for r in drawn.collect()]
-    if not asked:
-        return 1.0
-    right = scratch.save(brute_force(nodes, asked, k), "right")
-    return right.join(found.select("q", "v"), ["q", "v"], "left_semi").count() / right.count()
+    right = brute_force(nodes, asked, k) if asked else queries.select("q", F.col("q").alias("v")).limit(0)
+    return scratch.save(right.select("q", "v"), "right")
 
 
-def exact(scratch: Scratch, nodes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest nodes (q, v, d) of all ``queries(q)``, a bounded block of queries at a time."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    vectors = scratch.save(queries.join(nodes.select(F.col("id").alias("q"), "vec"), "q").withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))), "vectors")
-    out = None
-    for b in range(blocks):
-        asked = [(r["q"], r["vec"]) for r in vectors.where(F.col("b") == b).collect()]
-        if asked:
-            part = scratch.save(brute_force(nodes, asked, k), f"exact-{b}")
-            out = part if out is None else out.union(part)
-    return out
+def recall(right: DataFrame, found: DataFrame) -> float:
+    """Share of the pairs of ``right(q, v)`` that ``found(q, v, d)`` holds; 1 if there are none."""
+    n = right.count()
+    return right.join(found.select("q", "v"), ["q", "v"], "left_semi").count() / n if n else 1.0
 
 
 def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, top: int = TOP) -> DataFrame:
@@ -298,9 +291,11 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, top: int
     asked = scratch.save(asked.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
     edges = build_graph(scratch, nodes, n)
     wanted = asked.select("q").distinct()
-    found = search(scratch, nodes, edges, wanted)
-    if recall(scratch, nodes, found, wanted, top + 1) < WANTED:
-        found = exact(scratch, nodes, wanted, top + 1)
+    right, keep = sample_answers(scratch, nodes, wanted, top + 1), KEEP
+    found = search(scratch, nodes, edges, wanted, keep)
+    while recall(right, found) < WANTED and keep < n:
+        keep *= 4
+        found = search(scratch, nodes, edges, wanted, keep)
     close = Window.partitionBy("q").orderBy("d", "v")
     found = found.withColumn("_r", F.row_number().over(close)).where(F.col("_r") <= top + 1).drop("_r")
     out = asked.join(found, "q").join(members.withColumnRenamed("id", "v"), "v").where("member <> query_id")

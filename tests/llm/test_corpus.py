@@ -475,6 +475,13 @@ def test_main_text(page):
     assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>") == TEXT
 
 
+def test_quotes_in_unquoted_values_and_deep_nesting():
+    page = "<article><p class=x title=it's>five six</p><p>seven's eight</p><p title='a > b' lang=\"c > d\">nine</p></article>"
+    assert html_text.main_text(page) == "five six\n\nseven's eight\n\nnine"
+    deep = "<div>" * 20_000 + "<article>" + ARTICLE + "</article>" + "</b></p></div>" * 20_000
+    assert html_text.main_text(deep) == TEXT
+
+
 @pytest.mark.parametrize("name", ["svg", "math"])
 def test_empty_and_nested_foreign_elements(name):
     before, after = ARTICLE.split("<p>Second")
@@ -520,19 +527,27 @@ def test_neighbours(spark):
 
 
 def test_neighbours_when_the_search_finds_too_few(spark, monkeypatch):
+    """Short lists in a graph of hard vectors find too few: the search goes on with longer ones until the measure is met."""
     x = np.random.default_rng(5).normal(size=(600, 16))
     x[50:70] = x[50]
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<double>")
-    none = lambda scratch, nodes, edges, queries: queries.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"))
-    monkeypatch.setattr(neighbours, "build_graph", lambda *a: None)
-    monkeypatch.setattr(neighbours, "search", none)
-    monkeypatch.setattr(neighbours, "BLOCK", 3)
+    kept, search = [], neighbours.search
+
+    def counted(scratch, nodes, edges, queries, keep):
+        kept.append(keep)
+        return search(scratch, nodes, edges, queries, keep)
+
+    monkeypatch.setattr(neighbours, "search", counted)
+    monkeypatch.setattr(neighbours, "KEEP", 4)
+    monkeypatch.setattr(neighbours, "EXPAND", 2)
     got = {}
     for r in neighbours.nearest(spark, df).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
+    hit = 0
     for q in range(0, 600, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        assert got[q] == [int(i) for i in np.lexsort((np.arange(600), d)) if i != q][:10]
+        hit += len(set(got[q]) & set([int(i) for i in np.lexsort((np.arange(600), d)) if i != q][:10]))
+    assert kept[0] == 4 and len(kept) > 1 and hit >= 0.9 * 60
 
 
 # -- the pipeline
