@@ -46,9 +46,11 @@ def assign_in_order(rows: list[tuple], state: list[_Event] | None = None, simila
 
     An article may join an event that shares an actor, or a region and a topic, and was active within the window. The
     best score above the threshold wins, of equals the smaller event id; else the article opens its own event. Only
-    events that share an actor or region can be candidates, so they are looked up by key.
+    events that share an actor or region can be candidates, so they are looked up by key. An article that was placed
+    before returns its event and changes nothing.
     """
     events = {e.event_id: e for e in state or []}
+    placed: dict[str, _Event] = {}
     by_key: dict[tuple[str, str], set[str]] = {}
 
     def index(e: _Event) -> None:
@@ -60,6 +62,9 @@ def assign_in_order(rows: list[tuple], state: list[_Event] | None = None, simila
         index(e)
     out = []
     for article_id, hours, actors, regions, topics, title in rows:
+        if article_id in placed:
+            out.append((article_id, hours, placed[article_id].event_id, placed[article_id].title))
+            continue
         a, r, t = set(actors), set(regions), set(topics)
         candidates = set().union(*(by_key.get(("a", k), set()) for k in a), *(by_key.get(("r", k), set()) for k in r))
         best, score = None, THRESHOLD
@@ -77,6 +82,7 @@ def assign_in_order(rows: list[tuple], state: list[_Event] | None = None, simila
             best = events[f"evt_{article_id}"] = _Event(f"evt_{article_id}", title, hours, hours)
         best.absorb(hours, a, r, t)
         index(best)
+        placed[article_id] = best
         out.append((article_id, hours, best.event_id, best.title))
     return out
 
@@ -108,22 +114,59 @@ def independent_parts(spark: SparkSession, scratch: Scratch, articles: DataFrame
     return parted
 
 
-def assign_events(spark: SparkSession, articles: DataFrame, similar: Similarity | None = None) -> DataFrame:
+def event_articles(articles: DataFrame, enrichments: DataFrame) -> DataFrame:
+    """Enriched articles as the event rule reads them: article_id, first_seen_hours, actor_keys, region_ids, topics, title, origin."""
+    e = enrichments.select(
+        "article_id", F.array_distinct(F.transform("actors", lambda a: F.coalesce(a["entity_id"], F.concat(F.lit("key:"), a["canonical_key"])))).alias("actor_keys"),
+        F.array_distinct(F.transform("regions", lambda r: r["region_id"])).alias("region_ids"), F.array_distinct(F.transform("topics", lambda t: t["topic"])).alias("topics"),
+    )
+    origin = F.coalesce("original_source_id", "source_id") if "original_source_id" in articles.columns else F.col("source_id")
+    return articles.select("article_id", "first_seen_hours", "title", origin.alias("origin")).join(e, "article_id")
+
+
+def assign_events(spark: SparkSession, articles: DataFrame, similar: Similarity | None = None, state: DataFrame | None = None) -> DataFrame:
     """article_id, first_seen_hours, event_id, representative_title of articles(article_id, first_seen_hours, actor_keys, region_ids, topics, title).
 
     The sequential rule runs inside each independent part, so the result equals one global pass. A part whose keys
-    chain without end is one task; that is inherent in the rule.
+    chain without end is one task; that is inherent in the rule. ``state`` are the events of earlier batches (see
+    ``event_state``): an event takes part as a row at its last time with its keys, so it is in the part of every
+    article that may join it.
     """
-    parted = independent_parts(spark, Scratch(spark, "events"), articles)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["first_seen_hours", "article_id"])
-        got = assign_in_order(list(rows[["article_id", "first_seen_hours", "actor_keys", "region_ids", "topics", "title"]].itertuples(index=False)), None, similar)
+    columns = ["article_id", "first_seen_hours", "actor_keys", "region_ids", "topics", "title"]
+    rows = articles.select(*columns, F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("double").alias("first"))
+    if state is not None:
+        known = state.select(F.concat(F.lit("event "), "event_id").alias("article_id"), F.col("last_seen_hours").alias("first_seen_hours"), *columns[2:], "event_id", F.col("first_seen_hours").alias("first"))
+        rows = rows.unionByName(known)
+    parted = independent_parts(spark, Scratch(spark, "events"), rows)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        old = [
+            _Event(e.event_id, e.title, e.first, e.first_seen_hours, set(e.actor_keys), set(e.region_ids), set(e.topics))
+            for e in part[part["event_id"].notna()].itertuples(index=False)
+        ]
+        new = part[part["event_id"].isna()].sort_values(["first_seen_hours", "article_id"])
+        got = assign_in_order(list(new[columns].itertuples(index=False)), old, similar)
         return pd.DataFrame(got, columns=["article_id", "first_seen_hours", "event_id", "representative_title"])
 
     return parted.groupBy("part").applyInPandas(run, _ROW)
 
 
+def event_state(placed: DataFrame, articles: DataFrame, state: DataFrame | None = None, open_since: float | None = None) -> DataFrame:
+    """Events after a batch: event_id, title, first_seen_hours, last_seen_hours, actor_keys, region_ids, topics.
+
+    ``placed`` is what ``assign_events`` made of ``articles``, ``state`` the events before. Events whose last article
+    is older than ``open_since`` are left out: no article from ``open_since`` + 48 hours on can join them.
+    """
+    keys = ["actor_keys", "region_ids", "topics"]
+    rows = placed.select("article_id", "event_id", F.col("representative_title").alias("title")).join(articles.select("article_id", "first_seen_hours", *keys), "article_id")
+    rows = rows.select("event_id", "title", F.col("first_seen_hours").alias("lo"), F.col("first_seen_hours").alias("hi"), *keys)
+    if state is not None:
+        rows = rows.unionByName(state.select("event_id", "title", F.col("first_seen_hours").alias("lo"), F.col("last_seen_hours").alias("hi"), *keys))
+    union = [F.array_distinct(F.flatten(F.collect_set(k))).alias(k) for k in keys]
+    out = rows.groupBy("event_id").agg(F.min("title").alias("title"), F.min("lo").alias("first_seen_hours"), F.max("hi").alias("last_seen_hours"), *union)
+    return out if open_since is None else out.where(F.col("last_seen_hours") >= open_since)
+
+
 def merge(members: DataFrame, a: str, b: str) -> tuple[DataFrame, tuple]:
     """Members after two events became one, under the smaller id, and the log row (kind, survivor, other, moved)."""
     keep, gone = min(a, b), max(a, b)
@@ -150,15 +193,39 @@ def split(members: DataFrame, event_id: str, moved: list[str]) -> tuple[DataFram
     return out, ("split", event_id, new, sorted(here))
 
 
-def apply_ops(members: DataFrame, ops: DataFrame) -> DataFrame:
-    """Members after a log of merges(surviving_event_id, other_event_id): chains of merges lead to the last survivor."""
-    step = ops.where("kind = 'merge'").select(F.col("other_event_id").alias("event_id"), F.col("surviving_event_id").alias("to"))
+def apply_ops(members: DataFrame, ops: DataFrame, order: str = "seq") -> DataFrame:
+    """Members after a log of merges and splits, applied by ``order`` (without that column, as the rows stand).
+
+    ``ops`` has kind, surviving_event_id, other_event_id (of a split: the new event) and moved (article ids; may be missing in a log of merges). Editors
+    write it, so it is read in order on the driver; the members meet its outcome in two joins, however long it is.
+    A merge moves what is in the other event at that time, so logs that lead back to an earlier event end too.
+    """
+    now: dict[str, str] = {}  # where the members of an event are now
+    away: dict[str, list[tuple[str, str]]] = {}  # articles that splits moved: (from, to), in order; from is what they must be in
+    spark = members.sparkSession
+    for op in (ops.orderBy(order) if order in ops.columns else ops).collect():
+        keep, other = op["surviving_event_id"], op["other_event_id"]
+        if op["kind"] == "merge":
+            now.setdefault(other, other)
+            now = {e: keep if at == other else at for e, at in now.items()}
+            away = {i: [(f, keep if to == other else to) for f, to in path] for i, path in away.items()}
+        elif op["kind"] == "split":
+            sources = {keep, *(e for e, at in now.items() if at == keep)} - {e for e, at in now.items() if at != keep}
+            for i in op["moved"] or []:
+                path = away.setdefault(i, [])
+                moved = [(f, other if to == keep else to) for f, to in path]
+                away[i] = moved + [(e, other) for e in sorted(sources) if e not in {f for f, _ in path}]
     out = members
-    while True:
-        moved = out.join(small_side(step), "event_id", "left")
-        if moved.where("to IS NOT NULL").isEmpty():
-            return out
-        out = moved.withColumn("event_id", F.coalesce("to", "event_id")).drop("to")
+    if away:
+        rows = [(i, f, to) for i, path in away.items() for f, to in path]
+        out = out.join(small_side(spark.createDataFrame(rows, "article_id string, event_id string, _moved string")), ["article_id", "event_id"], "left")
+    else:
+        out = out.withColumn("_moved", F.lit(None).cast("string"))
+    if now:
+        out = out.join(small_side(spark.createDataFrame(list(now.items()), "event_id string, _now string")), "event_id", "left")
+    else:
+        out = out.withColumn("_now", F.lit(None).cast("string"))
+    return out.withColumn("event_id", F.coalesce("_moved", "_now", "event_id")).select(members.columns)
 
 
 def event_summary(members: DataFrame, articles: DataFrame) -> DataFrame:

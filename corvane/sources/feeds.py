@@ -51,6 +51,15 @@ def read_items(spark: SparkSession, path: str, streaming: bool = False) -> DataF
     return rows.withColumn("file", F.col("_metadata.file_path"))
 
 
+def file_status(spark: SparkSession, landing: str) -> DataFrame:
+    """source_id, files, errors of the feed files in ``landing/<source_id>/``: an error is a file without a whole item."""
+    raw = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(landing)
+    whole = F.col("value").contains("</item>") & F.col("value").contains("</rss>")
+    rows = raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("source_id"), whole.alias("whole"))
+    out = rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("files"), F.sum((~F.col("whole")).cast("long")).alias("errors"))
+    return out.withColumn("status", F.when(F.col("errors") > 0, "error").otherwise("ok"))
+
+
 def normalize(items: DataFrame, source: DataFrame, cap: int = T.EXCERPT) -> DataFrame:
     """Items with their source's columns to normalised rows; items without title or link are dropped.
 

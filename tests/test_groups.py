@@ -89,3 +89,43 @@ def test_merge_and_split(spark):
         events.split(m, "evt_a", ["c"])
     ops = spark.createDataFrame([("merge", "evt_b", "evt_c"), ("merge", "evt_a", "evt_b")], "kind string, surviving_event_id string, other_event_id string")
     assert {r.event_id for r in events.apply_ops(m, ops).collect()} == {"evt_a"}
+
+
+def _event_rows(spark, rows):
+    return spark.createDataFrame(rows, "article_id string, first_seen_hours double, actor_keys array<string>, region_ids array<string>, topics array<string>, title string")
+
+
+def test_event_state_over_batches_equals_one_pass(spark):
+    rng = random.Random(4)
+    rows = [(f"a{i:03d}", float(i * 3), [f"k{rng.randrange(8)}"] if rng.random() < 0.8 else [], [f"r{rng.randrange(4)}"], [f"t{rng.randrange(3)}"], f"title {i}") for i in range(60)]
+    want = {r[0]: (r[2], r[3]) for r in events.assign_in_order(rows)}
+    state, got = None, {}
+    for part in (rows[:20], rows[20:35], rows[35:]):
+        df = _event_rows(spark, part)
+        placed = events.assign_events(spark, df, state=state)
+        got |= {r.article_id: (r.event_id, r.representative_title) for r in placed.collect()}
+        state = Scratch(spark, "t").save(events.event_state(placed, df, state, part[-1][1] - events.WINDOW_HOURS), "state")
+        assert state.where(state.last_seen_hours < part[-1][1] - events.WINDOW_HOURS).isEmpty()
+    assert got == want
+
+
+def test_an_assigned_article_keeps_its_event():
+    a, b = ("a", 0.0, ["x"], [], [], "t"), ("b", 1.0, ["x", "y"], [], [], "u")
+    assert [r[2] for r in events.assign_in_order([a, b, a, ("c", 48.5, ["x"], [], [], "v")])] == ["evt_a"] * 4
+
+
+def test_op_log_in_order(spark):
+    m = spark.createDataFrame([("a", "evt_a"), ("b", "evt_a"), ("c", "evt_c"), ("d", "evt_c")], "article_id string, event_id string")
+    schema = "seq int, kind string, surviving_event_id string, other_event_id string, moved array<string>"
+
+    def after(*log):
+        out = events.apply_ops(m, spark.createDataFrame([(i, *op) for i, op in enumerate(log)], schema))
+        assert out.columns == m.columns
+        return {r.article_id: r.event_id for r in out.collect()}
+
+    join, part = ("merge", "evt_a", "evt_c", []), ("split", "evt_a", "evt_d", ["d", "b"])
+    assert after(join, part) == {"a": "evt_a", "b": "evt_d", "c": "evt_a", "d": "evt_d"}
+    assert after(part, join) == {"a": "evt_a", "b": "evt_d", "c": "evt_a", "d": "evt_a"}  # d was not in evt_a yet
+    assert after(join, part, ("merge", "evt_a", "evt_d", [])) == dict.fromkeys("abcd", "evt_a")
+    assert after(join, part, ("split", "evt_d", "evt_b", ["b"]))["b"] == "evt_b"
+    assert after(join, ("merge", "evt_c", "evt_a", [])) == dict.fromkeys("abcd", "evt_c")  # a log that leads back ends

@@ -52,3 +52,34 @@ def test_first_wins_and_absent(spark):
     df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), ("m", 3, "c")], "dedup_key string, ingest_seq int, v string")
     assert sorted(r.v for r in tables.first_wins(df).collect()) == ["a", "c"]
     assert [r.v for r in tables.absent(df, df.where("v = 'a'")).collect()] == ["c"]
+
+
+def test_stream_clusters_events_and_log(spark, tmp_path):
+    land, out = tmp_path / "land", str(tmp_path / "tables")
+    text = FEED.format(long="KPK periksa kasus suap di Medan")
+    write(land / "antara", "a.xml", text)
+    write(land / "antara", "bad.xml", "<rss><channel><item><title>x</tit")
+    config = ingest.Config(str(land), out, str(tmp_path / "cp"))
+    ingest.start(spark, feeds.sources(spark), config).awaitTermination()
+    write(land / "cnnid", "b.xml", text.replace("n.example/", "o.example/"))  # a carrier's copies under its own URLs
+    ingest.start(spark, feeds.sources(spark), config).awaitTermination()
+    groups = spark.read.parquet(f"{out}/clusters").groupBy("cluster_id").agg(F.count("*").alias("n"), F.first("origin_source_id").alias("o")).collect()
+    assert [(g.n, g.o) for g in groups] == [(2, "antara")] * 2
+    members = spark.read.parquet(f"{out}/event_members")
+    assert members.count() == members.select("article_id").distinct().count() == 4
+    first = {(r.source_id, r.files, r.errors, r.status, r.fetched, r.new) for r in spark.read.parquet(f"{out}/log").where("batch = 0").collect()}
+    assert first == {("antara", 2, 1, "error", 3, 2)}
+    before = {(r.article_id, r.event_id) for r in members.collect()}
+    ingest.event_batch(spark, 1, config)  # the batch once more, as after a failure
+    assert {(r.article_id, r.event_id) for r in spark.read.parquet(f"{out}/event_members").collect()} == before
+
+
+def test_clusters_keep_what_left_the_slice(spark, tmp_path):
+    out = str(tmp_path / "t")
+    schema = "article_id string, source_id string, is_wire boolean, first_seen_hours double, fp long"
+    spark.createDataFrame([("a", "s", False, 0.0, 7), ("b", "t", False, 1.0, 7)], schema).write.parquet(f"{out}/fingerprints")
+    config = ingest.Config("", out, "", cluster_hours=100.0)
+    assert ingest.cluster_batch(spark, config) == 1
+    spark.createDataFrame([("c", "s", False, 500.0, 7)], schema).write.mode("append").parquet(f"{out}/fingerprints")
+    assert ingest.cluster_batch(spark, config) == 1
+    assert {(r.article_id, r.cluster_id) for r in spark.read.parquet(f"{out}/clusters").collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
