@@ -310,6 +310,71 @@ def label_gate(spark: SparkSession, sf: str) -> DataFrame:
     return _registry(spark, sf).select("entity_id", compliance.label_allowed(F.lit("tersangka"), F.col("legal_status")).alias("allowed"))
 
 
+def _enriched_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """orders as enrichments: customers as actors, quoted with a confidence by the price; order priorities as regions."""
+    o = table(spark, sf, "orders")
+    cents = F.col("o_totalprice") * 100 % 100
+    actor = F.struct(
+        F.concat(F.lit("C"), F.col("o_custkey"), F.lit("/"), F.col("o_orderstatus")).alias("display"), F.col("o_custkey").cast("string").alias("canonical_key"),
+        F.col("o_orderstatus").alias("kind"), F.col("o_custkey").cast("string").alias("entity_id"), F.lit(0).alias("start"), F.lit(1).alias("end"),
+    )
+    region = F.struct(F.col("o_orderpriority").alias("region_id"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("region_type"), (F.col("o_orderkey") % 8 / 8).alias("confidence"))
+    quote = F.struct(
+        F.col("o_orderkey").cast("string").alias("quote_text"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("speaker_display"),
+        F.col("o_custkey").cast("string").alias("speaker_entity_id"), F.col("o_custkey").cast("string").alias("speaker_key"), (F.round(cents) / 100).alias("confidence"),
+        F.when(F.col("o_orderstatus") == "O", "as_published").otherwise("inferred").alias("attribution_status"), F.when(F.col("o_orderkey") % 3 != 0, "x").alias("source_paragraph_url"),
+    )
+    return o.select(F.col("o_orderkey").alias("article_id"), F.col("o_orderkey").alias("ingest_seq"), F.array(actor).alias("actors"), F.array(region).alias("regions"), F.array(quote).alias("quotes"))
+
+
+def _named_registry(spark: SparkSession, sf: str) -> DataFrame:
+    return _registry(spark, sf).withColumn("entity_id", F.col("entity_id").cast("string"))
+
+
+@register(
+    "actor_rollup",
+    f"""SELECT o_custkey::VARCHAR AS actor_id, arg_max('C' || o_custkey || '/' || o_orderstatus, o_orderkey) AS display, arg_max(o_orderstatus, o_orderkey) AS kind, count(*) AS article_count, any_value(legal_status) AS legal_status
+FROM orders LEFT JOIN {_REG} g ON g.entity_id = o_custkey WHERE NOT coalesce(s OR m OR v, FALSE) GROUP BY o_custkey""",
+)
+def actor_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.actor_rollup(_enriched_orders(spark, sf), _named_registry(spark, sf))
+
+
+@register("region_rollup", "SELECT o_orderpriority AS name, o_orderstatus AS region_type, count(*) AS article_count, round(avg(o_orderkey % 8 / 8), 4) AS avg_confidence FROM orders GROUP BY ALL")
+def region_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.region_rollup(_enriched_orders(spark, sf))
+
+
+@register(
+    "served_quotes",
+    f"""SELECT o_orderkey AS article_id, round(o_totalprice * 100 % 100) / 100 AS confidence FROM orders
+WHERE round(o_totalprice * 100 % 100) / 100 >= 0.75 AND o_orderstatus = 'O' AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_custkey NOT IN (SELECT entity_id FROM {_REG} WHERE s OR m OR v)""",
+)
+def served_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return rollups.served_quotes(_enriched_orders(spark, sf), _named_registry(spark, sf)).select("article_id", "confidence")
+
+
+@register(
+    "erasures",
+    f"""SELECT entity_id::VARCHAR AS entity_id, bool_or(s OR o_orderstatus = 'F') AS suppressed, coalesce(arg_max('L' || o_orderkey, o_orderkey) FILTER (o_orderstatus = 'P'), any_value(legal_status)) AS legal_status
+FROM {_REG} LEFT JOIN orders ON o_custkey = entity_id GROUP BY entity_id""",
+)
+def erasures(spark: SparkSession, sf: str) -> DataFrame:
+    """The registry after requests: orders with status F erase their customer, those with P rectify the legal status."""
+    o = table(spark, sf, "orders")
+    asked = o.select(
+        F.col("o_custkey").cast("string").alias("entity_id"), F.when(F.col("o_orderstatus") == "F", "erase").otherwise("rectify").alias("action"), F.lit(None).cast("string").alias("display"),
+        F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("L"), "o_orderkey")).alias("legal_status"), F.col("o_orderkey").alias("version"),
+    )
+    known = _named_registry(spark, sf).withColumns({"display": F.col("entity_id"), "kind": F.lit("PERSON")})
+    return compliance.apply_requests(known, asked).select("entity_id", "suppressed", "legal_status")
+
+
+@register("month_end", "SELECT o_orderkey, epoch(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH)::BIGINT AS period_end FROM orders")
+def month_end(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select("o_orderkey", metering.period_end(F.col("o_orderdate")).alias("period_end"))
+
+
 @register("quote_gate", "SELECT event_id FROM events WHERE value IS NOT NULL AND (value % 1) >= 0.75 AND props <> '' AND event_type = 'click'")
 def quote_gate(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
@@ -364,6 +429,52 @@ def webhook_firings(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.firings(rules, board).select("webhook_id", "target_id", "score")
 
 
+_RULES = [("w1", ["click"], 10.0, "1h"), ("w1", ["view"], 50.0, "24h"), ("w2", ["PURCHASE"], 0.0, "7d"), ("w2", ["view "], 0.0, "24h"), ("w3", ["view"], 0.0, "none")]
+
+
+def _window_scores(window: str) -> str:
+    span, half = WINDOWS[window]
+    return "SELECT '" + window + "' AS win, * FROM (" + _board_sql(span, half, "SELECT target_id, round(least(greatest(100 * raw / scale, 0), 100), 2) AS score FROM r, s") + ")"
+
+
+@register(
+    "webhook_windows",
+    "WITH v(webhook_id, t, least_score, win) AS (VALUES " + ", ".join(f"('{i}', '{w[0].strip().lower()}', {x}, '{n}')" for i, w, x, n in _RULES) + "), b AS ("
+    + " UNION ALL ".join(_window_scores(w) for w in ("1h", "24h", "7d"))
+    + ") SELECT DISTINCT webhook_id, target_id, score FROM b JOIN v ON v.win = b.win AND v.t = b.target_id WHERE score >= least_score",
+)
+def webhook_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each rule against the board of its own window; a window that is not served has no board."""
+    rows, as_of = mentions(spark, sf)
+
+    def board(window: str) -> DataFrame:
+        span, half = WINDOWS[window]
+        b = trending.trend_scores(trending.in_window(rows, as_of, span, "h"), half)
+        return b.select(F.lit("topic").alias("trend_type"), "target_id", F.col("target_name").alias("name"), F.round("score", 2).alias("score"))
+
+    none: list[str] = []
+    rules = spark.createDataFrame([(i, w, none, none, x, n) for i, w, x, n in _RULES], "webhook_id string, topics array<string>, actors array<string>, regions array<string>, min_score double, window string")
+    return alerts.firings(rules, alerts.boards_by_window(rules, board)).select("webhook_id", "target_id", "score")
+
+
+_PAGE = "SELECT doc_id AS article_id FROM documents WHERE doc_id % 96 < 50 OR doc_id % 96 = 50 AND doc_id < 500 ORDER BY doc_id % 96 DESC, doc_id DESC LIMIT 21"
+
+
+@register("news_cursor_page", _PAGE)
+def news_cursor_page(spark: SparkSession, sf: str) -> DataFrame:
+    """The page after a cursor, by the library's own paging."""
+    page = news.news_page(articles(spark, sf), 20, news.encode_cursor(50.0, "500"))
+    return page.select("article_id")
+
+
+@register("source_board", _SOURCES.replace("FROM r, s", "FROM r, s WHERE n >= 3 ORDER BY r.raw DESC, source_id LIMIT 5"))
+def source_board(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best sources."""
+    a = trending.in_window(articles(spark, sf), 95.0, 24.0).withColumn("is_origin", F.col("is_wire") | (F.col("article_id") % 3 == 0))
+    out = trending.top(trending.source_scores(a, 8.0), 5, "source_id")
+    return out.select("source_id", F.round("weighted_volume", 6).alias("weighted_volume"), "article_count", "originality", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"), "eligible")
+
+
 @register("source_status", "SELECT o_orderpriority AS source_id, arg_max(CASE WHEN o_orderstatus = 'F' THEN 'error' ELSE 'ok' END, o_orderkey) AS status, sum(o_orderkey % 5)::BIGINT AS article_count, sum((o_orderstatus = 'F')::INT)::BIGINT AS error_count FROM orders GROUP BY 1")
 def source_status(spark: SparkSession, sf: str) -> DataFrame:
     log = table(spark, sf, "orders").select(
@@ -410,6 +521,28 @@ def event_summary(spark: SparkSession, sf: str) -> DataFrame:
     return events.event_summary(*_groups(spark, sf))
 
 
+_SUMMARY = ORACLE["event_summary"]
+
+
+@register("event_list", f"SELECT event_id, article_count, last_seen_hours FROM ({_SUMMARY}) ORDER BY last_seen_hours DESC, event_id LIMIT 20")
+def event_list(spark: SparkSession, sf: str) -> DataFrame:
+    return events.list_events(event_summary(spark, sf), 20).select("event_id", "article_count", "last_seen_hours")
+
+
+@register(
+    "event_ops",
+    """WITH g AS (SELECT doc_id, (doc_id % 50)::VARCHAR AS e FROM documents), m AS (SELECT doc_id, CASE e WHEN '3' THEN '2' ELSE e END AS e FROM g),
+x AS (SELECT doc_id, CASE WHEN e = '2' AND doc_id IN (3, 52, 53, 4) THEN 'new' ELSE e END AS e FROM m)
+SELECT CASE e WHEN '2' THEN '1' ELSE e END AS event_id, count(*) AS n FROM x GROUP BY 1""",
+)
+def event_ops(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of events after a log: 3 joins 2, four articles leave 2, 2 joins 1."""
+    log = [(1, "merge", "2", "3", []), (2, "split", "2", "new", ["3", "52", "53", "4"]), (3, "merge", "1", "2", [])]
+    ops = spark.createDataFrame(log, "seq int, kind string, surviving_event_id string, other_event_id string, moved array<string>")
+    members = _groups(spark, sf)[0].withColumn("article_id", F.col("article_id").cast("string"))
+    return events.apply_ops(members, ops).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "event_sources",
     _GROUPS + """, n AS (SELECT event_id, source AS origin, count(*) AS n FROM g GROUP BY ALL), f AS (SELECT event_id, source FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY t, doc_id) = 1),
