@@ -182,11 +182,15 @@ def build_graph(scratch: Scratch, nodes: DataFrame, n: int) -> DataFrame:
     start = start.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(nodes.select(F.col("id").alias("v"), F.col("vec").alias("b")), "v")
     edges = scratch.save(start.select("u", "pu", "v", "pv", dist("a", "b").alias("d"), F.lit(True).alias("new")), "edges-0")
     for r in range(1, ROUNDS + 1):
-        around = scratch.save(_both_ways(edges), "around")
+        # nodes without a new edge, in either direction, have nothing to introduce
+        fresh = F.max("new").over(Window.partitionBy("u"))
+        around = scratch.save(_both_ways(edges).withColumn("_fresh", fresh).where("_fresh").drop("_fresh"), "around")
         full = edges.groupBy("u").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("k"))
         reach = full.select(F.col("u").alias("v"), F.when(F.col("k") < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.col("far")).alias("reach"))
-        need = scratch.load("around", around.schema).select("pu", "v").distinct().join(reach, "v", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
-        need = need.join(nodes.select(F.col("id").alias("v"), F.col("part").alias("pv"), "vec"), "v")
+        # a node meets its vector once, whatever the number of parts that need it
+        need = scratch.load("around", around.schema).groupBy("v").agg(F.collect_set("pu").alias("parts"))
+        need = need.join(reach, "v", "left").join(nodes.select(F.col("id").alias("v"), F.col("part").alias("pv"), "vec"), "v")
+        need = need.select(F.explode("parts").alias("pu"), "v", "pv", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         met = around.select("pu", "u", "v", "new").groupBy("pu").cogroup(need.groupBy("pu")).applyInArrow(_meet, _EDGE)
         old = edges.withColumn("new", F.lit(False))
         every = old.unionByName(met).repartition("u")
