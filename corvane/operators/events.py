@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,77 +43,138 @@ def _jaccard(a: set[str], b: set[str]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def assign_in_order(rows: list[tuple], state: list[_Event] | None = None, similar: Similarity | None = None) -> list[tuple[str, float, str, str]]:
-    """The sequential rule over rows (article_id, hours, actors, regions, topics, title), already in order.
+class _Board:
+    """The events that are open, and the sequential rule for the next article.
 
     An article may join an event that shares an actor, or a region and a topic, and was active within the window. The
     best score above the threshold wins, of equals the smaller event id; else the article opens its own event. Only
     events that share an actor or region can be candidates, so they are looked up by key. An article that was placed
-    before returns its event and changes nothing.
+    before returns its event and changes nothing. An event whose window ended before every article to come is let go,
+    so an article meets the events of its window, not all events there ever were.
     """
-    events = {e.event_id: e for e in state or []}
-    placed: dict[str, _Event] = {}
-    by_key: dict[tuple[str, str], set[str]] = {}
-
-    def index(e: _Event) -> None:
-        for kind, keys in (("a", e.actors), ("r", e.regions)):
-            for k in keys:
-                by_key.setdefault((kind, k), set()).add(e.event_id)
-
-    for e in events.values():
-        index(e)
-    out = []
-    for article_id, hours, actors, regions, topics, title in rows:
-        if article_id in placed:
-            out.append((article_id, hours, placed[article_id].event_id, placed[article_id].title))
-            continue
+
+    def __init__(self, state: Iterable[_Event] = (), similar: Similarity | None = None):
+        self.similar = similar
+        self.events = {e.event_id: e for e in state}
+        self.placed: dict[str, _Event] = {}
+        self.by_key: dict[tuple[str, str], set[str]] = {}
+        self.ends: list[tuple[float, str]] = []  # a heap: when an event was last active, as it was entered
+        for e in self.events.values():
+            self._index(e)
+            self._enter(e)
+
+    @staticmethod
+    def _keys(e: _Event) -> list[tuple[str, str]]:
+        return [("a", k) for k in e.actors] + [("r", k) for k in e.regions]
+
+    def _index(self, e: _Event) -> None:
+        for k in self._keys(e):
+            self.by_key.setdefault(k, set()).add(e.event_id)
+
+    def _enter(self, e: _Event) -> None:
+        if e.last == e.last:
+            heapq.heappush(self.ends, (e.last, e.event_id))
+
+    def _let_go(self, since: float) -> None:
+        """Forget the events that no article from ``since`` on can join."""
+        while self.ends and since - self.ends[0][0] > WINDOW_HOURS:
+            last, event_id = heapq.heappop(self.ends)
+            e = self.events.get(event_id)
+            if e is None:
+                continue
+            if e.last != last:
+                self._enter(e)
+                continue
+            del self.events[event_id]
+            for k in self._keys(e):
+                if ids := self.by_key.get(k):
+                    ids.discard(event_id)
+                    if not ids:
+                        del self.by_key[k]
+
+    def place(self, row: tuple, since: float, again: bool = True) -> tuple[str, float, str, str]:
+        """The outcome for (article_id, hours, actors, regions, topics, title). No article to come, nor this one, is before
+        ``since``; ``again`` tells that the article may come again."""
+        article_id, hours, actors, regions, topics, title = row
+        if article_id in self.placed:
+            return article_id, hours, self.placed[article_id].event_id, self.placed[article_id].title
+        self._let_go(since)
         a, r, t = set(actors), set(regions), set(topics)
-        candidates = set().union(*(by_key.get(("a", k), set()) for k in a), *(by_key.get(("r", k), set()) for k in r))
+        candidates = set().union(*(self.by_key.get(("a", k), set()) for k in a), *(self.by_key.get(("r", k), set()) for k in r))
         best, score = None, THRESHOLD
         for key in sorted(candidates):
-            e = events[key]
+            e = self.events.get(key)
+            if e is None:
+                continue
             gap = abs(hours - e.last)
             if gap > WINDOW_HOURS or not (a & e.actors or (r & e.regions and t & e.topics)):
                 continue
             s = W_ACTOR * _jaccard(a, e.actors) + W_REGION * _jaccard(r, e.regions) + W_TOPIC * _jaccard(t, e.topics) + W_TIME * max(0.0, 1.0 - gap / WINDOW_HOURS)
-            if similar is not None:
-                s += W_TEXT * similar(title, e.title)
+            if self.similar is not None:
+                s += W_TEXT * self.similar(title, e.title)
             if s > score:
                 best, score = e, s
         if best is None:
-            best = events[f"evt_{article_id}"] = _Event(f"evt_{article_id}", title, hours, hours)
+            best = self.events[f"evt_{article_id}"] = _Event(f"evt_{article_id}", title, hours, hours)
+            self._enter(best)
         best.absorb(hours, a, r, t)
-        index(best)
-        placed[article_id] = best
-        out.append((article_id, hours, best.event_id, best.title))
-    return out
+        self._index(best)
+        if again:
+            self.placed[article_id] = best
+        return article_id, hours, best.event_id, best.title
 
 
-def independent_parts(spark: SparkSession, scratch: Scratch, articles: DataFrame, rounds: int = 6) -> DataFrame:
-    """Articles with ``part``: articles of different parts can never meet in an event.
+def assign_in_order(rows: list[tuple], state: list[_Event] | None = None, similar: Similarity | None = None) -> list[tuple[str, float, str, str]]:
+    """The sequential rule (see ``_Board``) over rows (article_id, hours, actors, regions, topics, title), already in order."""
+    board = _Board(state or (), similar)
+    hours = np.array([r[1] for r in rows], np.float64)
+    since = np.minimum.accumulate(np.where(np.isnan(hours), -np.inf, hours)[::-1])[::-1]  # whatever the order of times
+    return [board.place(r, at) for r, at in zip(rows, since.tolist(), strict=True)]
+
+
+def _timed(articles: DataFrame) -> bool:
+    """Whether every article has a time. One without is in every event's window, so no event ends before it."""
+    h = F.col("first_seen_hours")
+    return articles.where(h.isNull() | F.isnan(h)).isEmpty()
+
+
+def independent_parts(spark: SparkSession, scratch: Scratch, articles: DataFrame, rounds: int = 6, timed: bool = True) -> DataFrame:
+    """Articles with ``part``: articles of different parts can never meet in an event; and ``again``: whether an
+    article_id has more rows.
 
     Articles meet only through a shared actor or region, and only within the window. Components of shared keys are cut
-    where their times have a gap over the window, and again, until the number of parts stays the same. Keys link to
-    their first article, never article to article.
+    where their times have a gap over the window, and again, until the number of parts stays the same; articles that
+    are not ``timed`` are not cut. The keys are what is linked, an article's keys to its first: however many articles
+    share two keys, that is one link. Gaps are found between the spans of the articles in bins as long as the window.
     """
-    parted = articles.withColumn("part", F.lit(0).cast("long"))
-    before = -1
+    twice = scratch.small(articles.groupBy("article_id").count().where("count > 1").select("article_id", F.lit(True).alias("_twice")), "twice")
+    own = F.when(F.col("_twice"), F.array(F.concat(F.lit("i:"), F.col("article_id"))))
+    none = F.array().cast("array<string>")
+    named = [F.transform(c, lambda x: F.coalesce(F.concat(F.lit(f"{c[0]}:"), x), F.lit(c[0]))) for c in ("actor_keys", "region_ids")]
+    keys = F.concat(*[F.coalesce(c, none) for c in (*named, own)])
+    parted = articles.join(twice, "article_id", "left").withColumns({"ks": F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))), "again": F.coalesce("_twice", F.lit(False))}).drop("_twice")
+    parted = scratch.save(parted.withColumn("part", F.lit(0).cast("long")), "parts")
+    before = 1
     for i in range(rounds):
-        keyed = parted.select("part", "article_id", F.xxhash64("article_id").alias("n"), F.explode(F.array_union(F.transform("actor_keys", lambda x: F.concat(F.lit("a:"), x)), F.transform("region_ids", lambda x: F.concat(F.lit("r:"), x)))).alias("key"))
-        first = keyed.groupBy("part", "key").agg(F.min("n").alias("m"))
-        links = keyed.join(first, ["part", "key"]).where("n <> m").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        labels = components(scratch, links, f"events-{i}")
-        n = F.xxhash64("article_id")
-        lab = parted.withColumn("n", n).join(labels.withColumnRenamed("id", "n"), "n", "left").withColumn("c", F.coalesce("root", "n"))
-        w = Window.partitionBy("c").orderBy("first_seen_hours", "article_id")
-        lab = lab.withColumn("cut", F.coalesce((F.col("first_seen_hours") - F.lag("first_seen_hours").over(w) > WINDOW_HOURS).cast("int"), F.lit(0)))
-        lab = lab.withColumn("no", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        parted = scratch.save(lab.withColumn("part", F.xxhash64("c", "no")).drop("n", "root", "c", "cut", "no"), f"parts-{i}")
-        now = parted.select("part").distinct().count()
+        node = F.when(F.size("ks") > 0, F.xxhash64("part", F.get("ks", F.lit(0)))).otherwise(F.xxhash64("article_id", F.lit("no key")))
+        links = parted.where(F.size("ks") > 1).select("part", F.get("ks", F.lit(0)).alias("k"), F.explode(F.slice("ks", 2, F.size("ks") - 1)).alias("l")).distinct()
+        labels = components(scratch, links.select(F.xxhash64("part", "l").alias("a"), F.xxhash64("part", "k").alias("b")), f"events-{i}")
+        lab = parted.withColumn("n", node).join(small_side(labels.withColumnRenamed("id", "n")), "n", "left").withColumn("c", F.coalesce("root", "n")).drop("n", "root")
+        if not timed:
+            parted = scratch.save(lab.withColumn("part", F.col("c")).drop("c"), f"parts-{i}")
+            break
+        lab = scratch.save(lab.withColumn("bin", F.floor(F.col("first_seen_hours") / WINDOW_HOURS)), "labelled")
+        spans = lab.groupBy("c", "bin").agg(F.min("first_seen_hours").alias("lo"), F.max("first_seen_hours").alias("hi"))
+        w = Window.partitionBy("c").orderBy("bin")
+        spans = spans.withColumn("cut", F.coalesce((F.col("lo") - F.lag("hi").over(w) > WINDOW_HOURS).cast("int"), F.lit(0)))
+        spans = scratch.small(spans.select("c", "bin", F.xxhash64("c", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).alias("to")), "spans")
+        parted = scratch.save(lab.join(spans, ["c", "bin"]).withColumn("part", F.col("to")).drop("c", "bin", "to"), f"parts-{i}")
+        now = spans.select("to").distinct().count()
+        scratch.drop("labelled", "spans", "parts" if not i else f"parts-{i - 1}")
         if now == before:
             break
         before = now
-    return parted
+    return parted.drop("ks")
 
 
 def event_articles(articles: DataFrame, enrichments: DataFrame) -> DataFrame:
@@ -128,27 +191,38 @@ def assign_events(spark: SparkSession, articles: DataFrame, similar: Similarity
     """article_id, first_seen_hours, event_id, representative_title of articles(article_id, first_seen_hours, actor_keys, region_ids, topics, title).
 
     The sequential rule runs inside each independent part, so the result equals one global pass. A part whose keys
-    chain without end is one task; that is inherent in the rule. ``state`` are the events of earlier batches (see
-    ``event_state``): an event takes part as a row at its last time with its keys, so it is in the part of every
-    article that may join it.
+    chain without end is one task; that is inherent in the rule. Articles stream through it in order: a task holds the
+    events that are open, not its part. ``state`` are the events of earlier batches (see ``event_state``): an event
+    takes part as a row at its last time with its keys, so it is in the part of every article that may join it.
     """
     columns = ["article_id", "first_seen_hours", "actor_keys", "region_ids", "topics", "title"]
     rows = articles.select(*columns, F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("double").alias("first"))
     if state is not None:
         known = state.select(F.concat(F.lit("event "), "event_id").alias("article_id"), F.col("last_seen_hours").alias("first_seen_hours"), *columns[2:], "event_id", F.col("first_seen_hours").alias("first"))
         rows = rows.unionByName(known)
-    parted = independent_parts(spark, Scratch(spark, "events"), rows)
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        old = [
-            _Event(e.event_id, e.title, e.first, e.first_seen_hours, set(e.actor_keys), set(e.region_ids), set(e.topics))
-            for e in part[part["event_id"].notna()].itertuples(index=False)
-        ]
-        new = part[part["event_id"].isna()].sort_values(["first_seen_hours", "article_id"])
-        got = assign_in_order(list(new[columns].itertuples(index=False)), old, similar)
-        return pd.DataFrame(got, columns=["article_id", "first_seen_hours", "event_id", "representative_title"])
-
-    return parted.groupBy("part").applyInPandas(run, _ROW)
+    timed = _timed(rows)
+    parted = independent_parts(spark, Scratch(spark, "events"), rows, timed=timed)
+    time = F.coalesce("first_seen_hours", F.lit(float("nan")))
+    # a part's events first, then its articles in order
+    ordered = parted.repartition("part").sortWithinPartitions("part", F.col("event_id").isNull(), time, F.col("article_id").asc_nulls_last())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, board, known = None, None, []
+        for batch in batches:
+            got = []
+            for r in batch.itertuples(index=False):
+                if r.part != part:
+                    part, board, known = r.part, None, []
+                if r.event_id is not None and r.event_id == r.event_id:
+                    known.append(_Event(r.event_id, r.title, r.first, r.first_seen_hours, set(r.actor_keys), set(r.region_ids), set(r.topics)))
+                    continue
+                if board is None:
+                    board, known = _Board(known, similar), []
+                row = (r.article_id, r.first_seen_hours, r.actor_keys, r.region_ids, r.topics, r.title)
+                got.append(board.place(row, r.first_seen_hours if timed else float("-inf"), r.again))
+            yield pd.DataFrame(got, columns=["article_id", "first_seen_hours", "event_id", "representative_title"])
+
+    return ordered.mapInPandas(run, _ROW)
 
 
 def event_state(placed: DataFrame, articles: DataFrame, state: DataFrame | None = None, open_since: float | None = None) -> DataFrame:

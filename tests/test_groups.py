@@ -69,6 +69,50 @@ def test_event_parts_equal_one_pass(spark):
     assert got == want
 
 
+def _plain_rule(rows):
+    """The rule with every event there ever was as a candidate."""
+    found, out = {}, []
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    for article, hours, a, r, t, _ in rows:
+        a, r, t = set(a), set(r), set(t)
+        best, score = None, events.THRESHOLD
+        for name in sorted(found):
+            last, b, q, u = found[name]
+            gap = abs(hours - last)
+            if gap > events.WINDOW_HOURS or not (a & b or (r & q and t & u)):
+                continue
+            s = events.W_ACTOR * share(a, b) + events.W_REGION * share(r, q) + events.W_TOPIC * share(t, u) + events.W_TIME * max(0.0, 1.0 - gap / events.WINDOW_HOURS)
+            if s > score:
+                best, score = name, s
+        best = best or f"evt_{article}"
+        last, b, q, u = found.get(best, (hours, set(), set(), set()))
+        found[best] = (max(last, hours), a | b, r | q, t | u)
+        out.append((article, best))
+    return out
+
+
+@pytest.mark.parametrize("order", ["by time", "any", "one without a time"])
+def test_ended_events_are_let_go_and_nothing_changes(spark, order):
+    rng = random.Random(2)
+    rows = [(f"a{i:04d}", i * 1.5, [f"k{rng.randrange(9)}"], [f"r{rng.randrange(4)}"], [f"t{rng.randrange(3)}"], "t") for i in range(400)]
+    if order == "any":
+        rng.shuffle(rows)
+    if order == "one without a time":
+        rows.append(("z", float("nan"), *rows[0][2:]))
+    want = _plain_rule(rows)
+    assert [(r[0], r[2]) for r in events.assign_in_order(rows)] == want
+    if order != "any":
+        assert {(r.article_id, r.event_id) for r in events.assign_events(spark, _event_rows(spark, rows)).collect()} == set(want)
+
+
+def test_an_article_meets_open_events_only(monkeypatch):
+    """40 articles a window: the events looked at do not grow with all there ever were."""
+    looked = []
+    monkeypatch.setattr(events, "abs", lambda x: looked.append(x) or (x if x >= 0 else -x), raising=False)
+    events.assign_in_order([(f"a{i:05d}", i * 1.2, [f"k{i % 90}"], ["r"], [f"t{i % 50}"], "t") for i in range(2000)])
+    assert len(looked) <= 2000 * 50
+
+
 def test_event_rule():
     a = ("a", 0.0, ["x"], [], [], "t")
     assert events.assign_in_order([a, ("b", 48.0, ["x"], [], [], "t")])[1][2] == "evt_a"  # the window's end counts
