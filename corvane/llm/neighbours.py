@@ -1,41 +1,43 @@
-"""Approximate nearest neighbours: a graph built by NN-descent, searched greedily.
+"""Approximate nearest neighbours: graphs built by NN-descent, searched greedily.
 
-Equal vectors are one node. Every node starts with random neighbours, most of them from its own part of the space.
-Each round joins nodes with their neighbours, in both directions, and lets every node's neighbours meet each other:
-"a neighbour of my neighbour is probably my neighbour". Only pairs with an edge that is new since the last round are
-compared, and only those closer than what a node has already are passed on. Rounds end when few edges change.
+Equal vectors are one node. Nodes are dealt to shards by a hash, and each shard has its own neighbour graph. It starts
+with random neighbours. Each round lets the neighbours of every node, in both directions, meet each other: "a neighbour
+of my neighbour is probably my neighbour". Only pairs with an edge that is new since the last round are compared, and
+only those closer than what a node has already are passed on. Rounds end when few edges change.
 
-A query starts at its own node's neighbours and keeps a list of the nearest nodes seen; each step expands the nearest
-ones that have not been expanded, until there is none. A bounded number of queries is answered by brute force as well;
-while the search finds too few of their neighbours, it goes on with longer lists, up to lists of all nodes.
+A query searches the graph of every shard, and the nearest of all its finds are its answer. In a shard it starts at the
+nearest of a few fixed nodes and keeps a list of the nearest nodes seen; each step expands the nearest ones that have
+not been expanded, until there is none. A bounded number of queries is answered by brute force as well; while the search
+finds too few of their neighbours, it is done again with longer lists, up to lists of all nodes.
 
-Scale: parts (cells around centres, large ones divided) say where a node's neighbourhood is worked on, so that a
-round ships each vector once to each part that needs it, not once to each edge. A task holds one part. The centres
-come from a bounded sample; every vector is indexed. A hub's reverse edges are limited to its nearest in each round;
-those edges still work from their other end.
+Scale: a shard's size is fixed, so a vector is shipped once to build its graph, whatever the number of vectors, and the
+edges never leave their shard's task. Every vector is indexed. The queries travel to every shard, in blocks. A hub's
+reverse edges are limited to its nearest; those edges still work from their other end.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, small_side
 
-#: Neighbours of a node; nodes kept per query; nodes that a query expands in one step.
-NEIGHBOURS, KEEP, EXPAND = 30, 200, 24
-#: Random neighbours at the start from anywhere, so that the graph hangs together.
-FAR = 4
-#: Vectors that centres are drawn from; nodes in a part, about.
-SAMPLE, PART = 4096, 1000
-ROUNDS, STEPS = 16, 40
-#: Pairs that a node gets from one meeting at most.
-PASSED = 8
+#: Neighbours of a node; nodes kept per query and shard; nodes that a query expands in one step.
+NEIGHBOURS, KEEP, EXPAND = 24, 128, 16
+#: Random links of a node in the search, so that the graph hangs together.
+FAR = 2
+#: Nodes in a shard, about; queries in a block.
+SHARD, BLOCK = 8192, 256
+#: New (and as many old) edges of a node that meet in one round, in each direction; others wait for the next one.
+MEET = 12
+ROUNDS = 24
 #: Rounds end when fewer than this share of all edges changed.
-SETTLED = 0.03
+SETTLED = 0.02
 #: Results per query.
 TOP = 10
 #: Queries that are also answered by brute force, to measure the search, and the recall they must have.
@@ -54,179 +56,187 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def centres(sample: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
-    """Centres of a sample by a few k-means rounds from a fixed start."""
-    rng = np.random.default_rng(7)
-    c = sample[rng.choice(len(sample), min(count, len(sample)), replace=False)]
+def place_nodes(scratch: Scratch, nodes: DataFrame, n: int) -> DataFrame:
+    """``nodes(id, vec)`` with their shard: part."""
+    return scratch.save(nodes.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_parts(n))).cast("int")), "nodes")
+
+
+def _parts(n: int) -> int:
+    return max(1, round(n / SHARD))
+
+
+def _tasks(nodes: DataFrame) -> int:
+    """So many partitions that few shards share one: a shard is seconds of work, but few bytes."""
+    return 4 * nodes.select("part").distinct().count() or 1
+
+
+def _top(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the k nearest v of each u, and their ranks."""
+    by = np.lexsort((v, d, u))
+    cut = np.searchsorted(u[by], np.arange(n))
+    rank = np.arange(len(by)) - cut[u[by]]
+    return by[rank < k], rank[rank < k]
+
+
+def _table(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k nearest v of each u as a row, filled up with -1."""
+    out = np.full((n, k), -1, np.int64)
+    at, rank = _top(u, v, d, n, k)
+    out[u[at], rank] = v[at]
+    return out
+
+
+def descend(x: np.ndarray, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> np.ndarray:
+    """NN-descent on the vectors of a shard: the k nearest found of each (fewer: filled up with -1), nearest first."""
+    n, rng = len(x), np.random.default_rng(7)
+    x2 = (x**2).sum(1)
+    if n <= k + 1:
+        d = x2[:, None] + x2[None, :] - 2 * x @ x.T
+        np.fill_diagonal(d, np.inf)
+        out = np.full((n, k), -1, np.int64)
+        out[:, : n - 1] = d.argsort(axis=1, kind="stable")[:, : n - 1]
+        return out
+    u, v = np.repeat(np.arange(n), k), rng.integers(0, n - 1, n * k)
+    v += v >= u  # never itself
+    u, v = np.divmod(np.unique(u * n + v), n)
+    d = np.maximum(0.0, x2[u] + x2[v] - 2 * np.einsum("ij,ij->i", x[u], x[v]))
+    new = np.ones(len(u), bool)
     for _ in range(rounds):
-        own = (((c**2).sum(1))[None, :] - 2 * sample @ c.T).argmin(1)
-        total = np.zeros_like(c)
-        np.add.at(total, own, sample)
-        n = np.bincount(own, minlength=len(c))
-        c[n > 0] = total[n > 0] / n[n > 0, None]
-    return c
-
-
-def _distance() -> Column:
-    @F.pandas_udf("double")
-    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        x, y = np.stack(a.to_numpy()).astype(np.float64), np.stack(b.to_numpy()).astype(np.float64)
-        return pd.Series(np.sqrt(((x - y) ** 2).sum(axis=1)))
-
-    return udf
-
-
-def place_nodes(spark: SparkSession, scratch: Scratch, nodes: DataFrame, n: int) -> DataFrame:
-    """``nodes(id, vec)`` with their part."""
-    share = min(1.0, SAMPLE / max(n, 1))
-    drawn = nodes.where(F.pmod(F.xxhash64("id"), F.lit(2**31)) < int(share * 2**31)).select("vec").limit(2 * SAMPLE)
-    sample = np.array([r[0] for r in drawn.collect()], np.float64)
-    c = centres(sample, max(1, min(1024, n // PART))) if len(sample) else np.zeros((1, 1))
-
-    @F.pandas_udf("int")
-    def cell(vec: pd.Series) -> pd.Series:
-        x = np.stack(vec.to_numpy()).astype(np.float64) if len(vec) else np.zeros((0, c.shape[1]))
-        return pd.Series(((c**2).sum(1)[None, :] - 2 * x @ c.T).argmin(1).astype(np.int32))
-
-    placed = scratch.save(nodes.withColumn("cell", cell("vec")), "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * PART)).cast("int").alias("split"))
-    split = F.pmod(F.xxhash64(F.col("id"), F.lit(3)), F.col("split")).cast("int")
-    return scratch.save(placed.join(small_side(sizes), "cell").withColumn("part", F.col("cell") * 10_000 + split).drop("cell", "split"), "nodes")
-
-
-def _meet(edges: pa.Table, vectors: pa.Table) -> pa.Table:
-    """The cogrouped step of a round: all neighbours of a node meet; closer pairs are passed on."""
-    ids = vectors.column("v").to_numpy()
-    order = np.argsort(ids)
-    ids = ids[order]
-    part, reach = vectors.column("pv").to_numpy()[order], vectors.column("reach").to_numpy()[order]
-    x = _matrix(vectors.column("vec"))[order] if len(ids) else np.zeros((0, 1))
-    u, new = edges.column("u").to_numpy(), edges.column("new").to_numpy(zero_copy_only=False)
-    v = np.searchsorted(ids, edges.column("v").to_numpy())
-    by = np.lexsort((v, u))
-    u, v, new = u[by], v[by], new[by]
-    cut = np.r_[np.flatnonzero(np.r_[True, u[1:] != u[:-1]]), len(u)] if len(u) else np.zeros(1, int)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        w, fresh = v[lo:hi], new[lo:hi]
-        if not fresh.any() or len(w) < 2:
-            continue
-        f, m = x[w[fresh]], x[w]
-        d = np.sqrt(np.maximum(0.0, (f**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * f @ m.T))
-        d[w[fresh][:, None] == w[None, :]] = np.inf
-        for s, t, e in ((w[fresh], w, d), (w, w[fresh], d.T)):
-            # the nearest few that a node meets here; nearer ones still come when their own neighbours meet
-            k = min(PASSED, e.shape[1])
-            near = np.argpartition(e, k - 1, axis=1)[:, :k]
-            dist = np.take_along_axis(e, near, axis=1).reshape(-1)
-            one, two = np.repeat(s, k), t[near].reshape(-1)
-            ok = dist < np.minimum(reach[one], np.finfo(np.float64).max)
-            found.append((one[ok], two[ok], dist[ok]))
-    if found:
-        a, b, d = (np.concatenate(c) for c in zip(*found, strict=True))
-        by = np.lexsort((b, d, a))
-        a, b, d = a[by], b[by], d[by]
-        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        a, b, d = a[once], b[once], d[once]
-        first = np.searchsorted(a, a)
-        top = np.arange(len(a)) - first < NEIGHBOURS
-        a, b, d = a[top], b[top], d[top]
-    else:
-        a = b = np.zeros(0, np.int64)
-        d = np.zeros(0)
-    return pa.table({"u": ids[a], "pu": part[a], "v": ids[b], "pv": part[b], "d": d, "new": np.ones(len(a), bool)})
-
-
-_EDGE = "u long, pu int, v long, pv int, d double, new boolean"
-
-
-def _start(nodes: DataFrame, n: int) -> DataFrame:
-    """Random neighbours: most from the node's own part, some from anywhere. Distances are not known yet (infinite).
-
-    Nodes stand in a hashed order, in their part and overall; neighbours are the next ones in that order.
-    """
-    near = Window.partitionBy("part").orderBy("h", "id")
-    here = nodes.select("id", "part").withColumn("h", F.xxhash64(F.col("id"), F.lit(11)))
-    out = None
-    for k in range(1, NEIGHBOURS - FAR + 1):
-        step = here.select(F.col("id").alias("u"), F.col("part").alias("pu"), F.lead("id", k).over(near).alias("v"))
-        step = step.where(F.col("v").isNotNull()).withColumn("pv", F.col("pu"))
-        out = step if out is None else out.unionByName(step)
-    # anywhere: nodes that fall into the same small bucket of a hash
-    buckets = max(1, n // 64)
-    for k in range(FAR):
-        spot = F.pmod(F.xxhash64(F.col("id"), F.lit(100 + k)), F.lit(buckets))
-        w = Window.partitionBy("b").orderBy("h", "id")
-        b = here.withColumn("b", spot)
-        step = b.select(F.col("id").alias("u"), F.col("part").alias("pu"), F.lead("id").over(w).alias("v"), F.lead("part").over(w).alias("pv"))
-        out = out.unionByName(step.where(F.col("v").isNotNull()))
-    return out.select("u", "pu", "v", "pv").dropDuplicates(["u", "v"])
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """Edges from both ends; of the edges into a node its nearest only."""
-    back = edges.select(F.col("v").alias("u"), F.col("pv").alias("pu"), F.col("u").alias("v"), F.col("pu").alias("pv"), "d", "new")
-    w = Window.partitionBy("u").orderBy(F.desc("new"), "d", "v")
-    back = back.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NEIGHBOURS).drop("_r")
-    return edges.select(back.columns).unionByName(back).groupBy("u", "v").agg(
-        F.first("pu").alias("pu"), F.first("pv").alias("pv"), F.min("d").alias("d"), F.max("new").alias("new")
-    )
-
-
-def build_graph(scratch: Scratch, nodes: DataFrame, n: int) -> DataFrame:
-    """The neighbour graph (u, pu, v, pv, d, new) of ``nodes(id, vec, part)``."""
-    dist = _distance()
-    start = _start(nodes, n)
-    start = start.join(nodes.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(nodes.select(F.col("id").alias("v"), F.col("vec").alias("b")), "v")
-    edges = scratch.save(start.select("u", "pu", "v", "pv", dist("a", "b").alias("d"), F.lit(True).alias("new")), "edges-0")
-    for r in range(1, ROUNDS + 1):
-        # nodes without a new edge, in either direction, have nothing to introduce
-        fresh = F.max("new").over(Window.partitionBy("u"))
-        around = scratch.save(_both_ways(edges).withColumn("_fresh", fresh).where("_fresh").drop("_fresh"), "around")
-        full = edges.groupBy("u").agg(F.max("d").alias("far"), F.count(F.lit(1)).alias("k"))
-        reach = full.select(F.col("u").alias("v"), F.when(F.col("k") < NEIGHBOURS, F.lit(float("inf"))).otherwise(F.col("far")).alias("reach"))
-        # a node meets its vector once, whatever the number of parts that need it
-        need = scratch.load("around", around.schema).groupBy("v").agg(F.collect_set("pu").alias("parts"))
-        need = need.join(reach, "v", "left").join(nodes.select(F.col("id").alias("v"), F.col("part").alias("pv"), "vec"), "v")
-        need = need.select(F.explode("parts").alias("pu"), "v", "pv", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
-        met = around.select("pu", "u", "v", "new").groupBy("pu").cogroup(need.groupBy("pu")).applyInArrow(_meet, _EDGE)
-        old = edges.withColumn("new", F.lit(False))
-        every = old.unionByName(met).repartition("u")
-        every = every.groupBy("u", "v").agg(F.first("pu").alias("pu"), F.first("pv").alias("pv"), F.min("d").alias("d"), F.min("new").alias("new"))
-        w = Window.partitionBy("u").orderBy("d", "v")
-        edges = scratch.save(every.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NEIGHBOURS).drop("_r").select("u", "pu", "v", "pv", "d", "new"), f"edges-{r}")
-        scratch.drop(f"edges-{r - 1}")
-        if edges.where("new").count() <= SETTLED * n * NEIGHBOURS:
+        # what meets at each node: its nearest new and old edges, and the nearest new and old edges into it
+        meets, chosen = [], np.zeros(len(u), bool)
+        for kind in (new, ~new):
+            i = np.flatnonzero(kind)
+            ahead, _ = _top(u[i], v[i], d[i], n, MEET)
+            into, _ = _top(v[i], u[i], d[i], n, MEET)
+            two = np.unique(np.r_[u[i][ahead] * n + v[i][ahead], v[i][into] * n + u[i][into]])
+            a, b = np.divmod(two, n)
+            meets.append(_table(a, b, rng.random(len(a)), n, 2 * MEET))
+            if kind is new:
+                chosen[i[ahead]] = chosen[i[into]] = True
+        new &= ~chosen
+        worst = np.full(n, np.inf)
+        at, rank = _top(u, v, d, n, k)
+        worst[u[at[rank == k - 1]]] = d[at[rank == k - 1]]
+        found = []
+        for lo in range(0, n, 1024):
+            fresh, every = meets[0][lo : lo + 1024], np.concatenate([m[lo : lo + 1024] for m in meets], axis=1)
+            e = x2[fresh][:, :, None] + x2[every][:, None, :] - 2 * np.matmul(x[fresh], x[every].transpose(0, 2, 1))
+            ok = (fresh[:, :, None] >= 0) & (every[:, None, :] >= 0) & (fresh[:, :, None] != every[:, None, :])
+            for far, flip in ((worst[fresh][:, :, None], False), (worst[every][:, None, :], True)):
+                i, j, m = np.nonzero(ok & (e < far))
+                one, two = fresh[i, j], every[i, m]
+                code = two * n + one if flip else one * n + two
+                code, first = np.unique(code, return_index=True)
+                found.append((code, np.maximum(0.0, e[i, j, m][first])))
+        # known edges come first, so what is known already does not become new again
+        code = np.concatenate([u * n + v, *(c for c, _ in found)])
+        dist = np.concatenate([d, *(c for _, c in found)])
+        code, first = np.unique(code, return_index=True)
+        fresh = np.where(first < len(u), new[np.minimum(first, len(u) - 1)], True)
+        added = first >= len(u)
+        u, v = np.divmod(code, n)
+        d = dist[first]
+        at, _ = _top(u, v, d, n, k)
+        u, v, d, new = u[at], v[at], d[at], fresh[at]
+        if added[at].sum() <= SETTLED * n * k:
             break
-    return edges
+    return _table(u, v, d, n, k)
 
 
-def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame, keep: int = KEEP) -> DataFrame:
-    """Nearest nodes (q, v, d) of the nodes ``queries(q)``, found by greedy search with lists of ``keep`` nodes; q's own
-    node is among them. Without new nodes to expand the search is over: steps are not limited, but for what ``keep`` is."""
-    dist = _distance()
-    graph = scratch.save(_both_ways(edges).select("u", "v"), "graph")
-    asked = scratch.save(queries.join(nodes.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q"), "asked")
-    state = scratch.save(asked.select("q", F.col("q").alias("v"), F.lit(0.0).alias("d"), F.lit(False).alias("done")), "state-0")
-    near = Window.partitionBy("q").orderBy("d", "v")
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in ascending order, their vectors, and where they stood."""
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids)
+    x = _matrix(table.column("vec"))[order] if len(ids) else np.zeros((0, 1))
+    return ids[order], x, order
+
+
+def _scaled(x: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Moved to the middle of ``x`` and of size 1: squares neither overflow nor vanish."""
+    by = max(float(np.abs(x).max(initial=0.0)), 1e-300)
+    middle = (x / by).mean(axis=0) if len(x) else 0.0
+    return [np.clip(y / by, -1e100, 1e100) - middle for y in (x, *more)]
+
+
+def build_graph(scratch: Scratch, nodes: DataFrame) -> DataFrame:
+    """The neighbour graphs of all shards of ``nodes(id, vec, part)``: id, vec, part, near (ids in the same shard)."""
+    schema = T.StructType([*nodes.select("id", "vec", "part").schema, T.StructField("near", T.ArrayType(T.LongType()))])
+
+    def build(table: pa.Table) -> pa.Table:
+        ids, x, order = _vectors(table)
+        near = descend(_scaled(x)[0])
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum((near >= 0).sum(1))].astype(np.int32), pa.array(ids[near[near >= 0]]))
+        return table.select(["id", "vec", "part"]).take(pa.array(order)).append_column("near", lists)
+
+    dealt = nodes.select("id", "vec", "part").repartition(_tasks(nodes), "part")
+    return scratch.save(dealt.groupBy("part").applyInArrow(build, schema), "graph")
+
+
+def _links(near: np.ndarray) -> np.ndarray:
+    """A shard's links for the search, filled up with -1: both directions (of those into a node its first), a few random ones."""
+    n, k = near.shape
+    u, rank = np.nonzero(near >= 0)
+    back = _table(near[u, rank], u, rank.astype(float), n, k)
+    return np.concatenate([near, back, np.random.default_rng(11).integers(0, n, (n, FAR))], axis=1)
+
+
+def greedy(x: np.ndarray, links: np.ndarray, asked: np.ndarray, keep: int, expand: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (query, node): the ``keep`` nearest nodes found of each query."""
+    n, m = len(x), len(asked)
+    x2, a2 = (x**2).sum(1), (asked**2).sum(1)
+    start = np.random.default_rng(13).permutation(n)[: max(64, 2 * math.isqrt(n), keep)]
+    seen = np.zeros((m, n + 1), bool)
+    seen[:, start] = seen[:, n] = True  # the last one stands for no link
+    q, v = np.repeat(np.arange(m), len(start)), np.tile(start, m)
+    d = (a2[:, None] + x2[start][None, :] - 2 * asked @ x[start].T).reshape(-1)
+    done = np.zeros(len(q), bool)
+    while True:
+        at, _ = _top(q, v, d, m, keep)
+        q, v, d, done = q[at], v[at], d[at], done[at]
+        left = np.flatnonzero(~done)
+        if not len(left):
+            return q, v
+        now = left[_top(q[left], v[left], d[left], m, expand)[0]]
+        done[now] = True
+        met = links[v[now]]
+        code = np.repeat(q[now], met.shape[1]) * (n + 1) + np.where(met < 0, n, met).reshape(-1)
+        code = np.unique(code[~seen.reshape(-1)[code]])
+        seen.reshape(-1)[code] = True
+        r, w = np.divmod(code, n + 1)
+        q, v, done = np.r_[q, r], np.r_[v, w], np.r_[done, np.zeros(len(r), bool)]
+        d = np.r_[d, a2[r] + x2[w] - 2 * np.einsum("ij,ij->i", asked[r], x[w])]
+
+
+def search(scratch: Scratch, nodes: DataFrame, edges: DataFrame, queries: DataFrame, keep: int = KEEP, top: int = TOP + 1) -> DataFrame:
+    """Nearest nodes (q, v, d) of the nodes ``queries(q)``: the ``top`` of each shard's, found by greedy search with lists
+    of ``keep`` nodes in the graphs ``edges`` (see ``build_graph``); q's own node is among them."""
     expand = max(EXPAND, keep * EXPAND // KEEP)
-    for s in range(1, STEPS * max(1, keep // KEEP) + 1):
-        ranked = state.where("NOT done").withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= expand)
-        front = scratch.save(ranked.select("q", "v"), "front")
-        if front.isEmpty():
-            break
-        met = graph.join(small_side(front.withColumnRenamed("v", "u")), "u").select("q", "v").distinct()
-        met = scratch.save(met.join(state.select("q", "v"), ["q", "v"], "left_anti"), "met")
-        seen = nodes.select(F.col("id").alias("v"), "vec").join(small_side(met), "v").join(small_side(asked), "q")
-        seen = seen.select("q", "v", dist("vec", "qv").alias("d"), F.lit(False).alias("done"))
-        marked = state.join(small_side(front.withColumn("now", F.lit(True))), ["q", "v"], "left")
-        marked = marked.select("q", "v", "d", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        every = marked.unionByName(seen).withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= keep).drop("_r")
-        state = scratch.save(every, f"state-{s}")
-        scratch.drop(f"state-{s - 1}")
-    return state.select("q", "v", "d")
+    asked = queries.join(nodes.select(F.col("id").alias("q"), F.col("vec").alias("qv")), "q")
+    blocks = -(-queries.count() // BLOCK) or 1
+    asked = asked.groupBy(F.pmod(F.xxhash64("q", F.lit(5)), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("q", "qv")).alias("s"))
+    parts = edges.select(F.col("part").alias("to")).distinct()
+    asked = asked.select(F.col("s.q").alias("q"), F.col("s.qv").alias("qv")).crossJoin(small_side(parts))
+
+    def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, x, order = _vectors(shard)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(ids):
+            near, k = shard.column("near").take(pa.array(order)).combine_chunks(), max(NEIGHBOURS, 1)
+            rows = np.repeat(np.arange(len(ids)), near.value_lengths().to_numpy())
+            table = _table(rows, np.searchsorted(ids, near.flatten().to_numpy()), np.arange(len(rows), dtype=float), len(ids), k)
+            links = _links(table)
+            for one, vec in zip(asked.column("q"), asked.column("qv"), strict=True):
+                q, y = one.values.to_numpy(), _matrix(vec.values)
+                a, b = _scaled(x, y)
+                i, j = greedy(a, links, b, keep, expand)
+                d = np.sqrt(((y[i] - x[j]) ** 2).sum(1))
+                best, _ = _top(i, j, d, len(q), top)
+                found.append((q[i[best]], ids[j[best]], d[best]))
+        return pa.table(dict(zip("qvd", (np.concatenate(c) for c in zip(*found, strict=True)), strict=True)))
+
+    tasks = _tasks(edges)
+    met = edges.repartition(tasks, "part").groupBy("part").cogroup(asked.repartition(tasks, "to").groupBy("to")).applyInArrow(run, "q long, v long, d double")
+    return scratch.save(met, f"found-{keep}")
 
 
 def brute_force(nodes: DataFrame, asked: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -287,13 +297,13 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = 100, top: int
     named = scratch.save(keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("id")), "named")
     n = named.count()
     first = keyed.join(named, ["k1", "k2"]).where("vec_id = id").select("id", "vec").dropDuplicates(["id"])
-    nodes = place_nodes(spark, scratch, first, n)
+    nodes = place_nodes(scratch, first, n)
     w = Window.partitionBy("k1", "k2").orderBy("vec_id")
     ids = keyed.select("k1", "k2", "vec_id").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top + 1)
     members = scratch.save(ids.join(named, ["k1", "k2"]).select("id", F.col("vec_id").alias("member")), "members")
     asked = keyed.where(F.col("vec_id") % every == 0).select("k1", "k2", "vec_id").distinct().join(named, ["k1", "k2"])
     asked = scratch.save(asked.select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "queries")
-    edges = build_graph(scratch, nodes, n)
+    edges = build_graph(scratch, nodes)
     wanted = asked.select("q").distinct()
     right, keep = sample_answers(scratch, nodes, wanted, top + 1), KEEP
     found = search(scratch, nodes, edges, wanted, keep)

@@ -550,6 +550,33 @@ def test_neighbours_when_the_search_finds_too_few(spark, monkeypatch):
     assert kept[0] == 4 and len(kept) > 1 and hit >= 0.9 * 60
 
 
+def test_neighbours_over_shards(spark, monkeypatch):
+    """Vectors travel once to build the graphs, however many shards there are; clusters and far scales are found too."""
+    monkeypatch.setattr(neighbours, "SHARD", 250)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 12)) * 1e-3 + rng.integers(0, 40, (2000, 1)) * 1e3
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2000)], "vec_id long, embedding array<double>")
+    built = []
+    build = neighbours.build_graph
+
+    def seen(scratch, nodes, *rest):
+        built.append((nodes.count(), nodes.select("part").distinct().count(), build(scratch, nodes, *rest)))
+        return built[-1][2]
+
+    monkeypatch.setattr(neighbours, "build_graph", seen)
+    got = {}
+    for r in neighbours.nearest(spark, df).collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    hit = 0
+    for q in range(0, 2000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(2000), d)) if i != q][:10]
+        assert all(s == pytest.approx(d[i], rel=1e-12) for s, i in got[q]) and len(got[q]) == 10
+        hit += len({i for _, i in got[q]} & set(want))
+    assert hit >= 0.9 * 200
+    assert built[0][:2] == (2000, 8) and built[0][2].count() == 2000  # one row a vector, its neighbours with it
+
+
 # -- the pipeline
 
 
