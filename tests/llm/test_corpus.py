@@ -285,6 +285,20 @@ def test_lines_with_changed_words_and_letters(spark):
     assert len(data) > 300 and len(missed) <= 0.01 * len(data) / 2, (len(missed), missed[:5])
 
 
+def test_lines_that_share_a_crowded_bucket_only(spark):
+    """Forty lines that have one pair of words in common; each has a near copy in which all other words have changed."""
+    rng = random.Random(12)
+    data = []
+    for i in range(20):
+        words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(8)) for _ in range(7)]
+        changed = [w[:k] + "z" + w[k + 1 :] for w in words for k in [rng.randrange(8)]]
+        a, b = (" ".join(["shared", "phrases", *w]) for w in (words, changed))
+        assert edit(a, b) <= len(a) // 5
+        data += [(2 * i, a), (2 * i + 1, b)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {i: i % 2 for i in range(40)}
+
+
 # -- 10
 
 
