@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bitplanes, html_text, langid, lines, minhash, mixing, neighbours, pieces, substrings, winnowing
+from corvane.llm.common import Scratch
 from corvane.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c string, key string, row string, tail boolean"
@@ -299,6 +300,26 @@ def test_lines_that_share_a_crowded_bucket_only(spark):
     assert got == {i: i % 2 for i in range(40)}
 
 
+def test_lines_shared_keys(spark):
+    """A key has one row for each different line that has it, however often the line is there; keys of one line have none."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    df = spark.createDataFrame([(i, f"{t}\n{t}\n{texts[0]}") for i, t in enumerate(texts)], "doc_id long, text string")
+    scratch, holders = Scratch(spark, "keys"), {}
+    for r in lines.keyed_lines(df).withColumn("b", lines.blocks(F.col("s0"), F.col("s1"))).collect():
+        for key in [*(r.b if r.n else []), *r.grams]:
+            holders.setdefault(key, set()).add(r.id)
+    holders = {k: v for k, v in holders.items() if len(v) > 1}
+    members = lines.shared_keys(scratch, lines.placed_lines(df))
+    got = [(r.key, r.c) for r in members.collect()]
+    assert holders and len(got) == len(set(got)) and set(got) == {(k, c) for k, v in holders.items() for c in v}
+    deg = {c: sum(len(v) for v in holders.values() if c in v) for v in holders.values() for c in v}
+    assert {r.c: r.deg for r in members.collect()} == deg
+    kept = lines.shared_lines(scratch, lines.placed_lines(df), members).collect()
+    assert len(kept) == len(deg) and {r.id for r in kept} == set(deg)
+
+
 # -- 10
 
 
