@@ -188,6 +188,7 @@ def near_duplicates(
     texts = known.join(scratch.small(members.select(F.col("c").alias("doc_id")).distinct(), "ids"), "doc_id", "left_semi")
     sets = texts.mapInArrow(lambda b: sets_of(b, k), "c long, x long, s array<long>")
     sets = scratch.save(sets.dropDuplicates(["c", "x"]).select("c", "s"), "sets")
+    scratch.sweep()
 
     rounds = iter(range(1000))
 
@@ -224,6 +225,7 @@ def near_duplicates(
     named = classes.join(labels.withColumnRenamed("id", "c"), "c", "left").select("d1", "d2", F.coalesce("root", "c").alias("root"))
     named = scratch.save(named, "named")
     sized = scratch.save(sized.drop("keys"), "sized")
+    scratch.sweep()
     scratch.drop("sketches", "classes", "several", "ids", "sets", "docs-left", "prefixes", *[f"his-{k}" for k in range(next(rounds))])
     out = sized.join(named, ["d1", "d2"], "left")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()

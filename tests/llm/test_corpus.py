@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import bitplanes, html_text, langid, lines, minhash, mixing, neighbours, pieces, substrings, winnowing
-from corvane.llm.common import Scratch
+from corvane.llm.common import Scratch, components, size_of, small_side
 from corvane.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, c string, key string, row string, tail boolean"
@@ -300,6 +300,51 @@ def test_lines_that_share_a_crowded_bucket_only(spark):
     assert got == {i: i % 2 for i in range(40)}
 
 
+def test_lines_met_in_cells(spark, monkeypatch):
+    """Strays of a crowded bucket against all of it, pair by pair, though the bucket is dealt to many parts; no row is dealt out pair by pair."""
+    monkeypatch.setattr(lines, "PART", 5)
+    rng = random.Random(6)
+    rows = []
+    for key, n in ((1, 43), (2, 2), (3, 5), (4, 12)):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(40))
+        for i in range(n):
+            line = list(base)
+            for _ in range(rng.randint(0, 14)):
+                line[rng.randrange(len(line))] = rng.choice("xyz")
+            norm = "".join(line) + "t" * rng.randint(0, 20)
+            rows.append((key, rng.getrandbits(40), i % 7, i % 3 > 0, norm))
+    df = spark.createDataFrame(rows, "key long, c long, root long, stray boolean, norm string").withColumn("m", F.length("norm"))
+    df = df.withColumn("head", lines.head(F.col("norm"))).drop("norm")
+    scratch = Scratch(spark, "cells")
+    got = [tuple(sorted(r)) for r in lines.met_in_cells(scratch, df).collect()]
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and a[2] != b[2] and (a[3] or b[3])]
+    pairs = spark.createDataFrame([(a[1], len(a[4]), a[4], b[1], len(b[4]), b[4]) for a, b in pairs], "c long, m int, a string, c2 long, m2 int, b string")
+    pairs = pairs.withColumn("a", lines.head(F.col("a"))).withColumn("b", lines.head(F.col("b")))
+    want = [tuple(sorted(r)) for r in pairs.where(lines.heads_near("a", "m", "b", "m2")).select("c", "c2").collect()]
+    assert len(want) > 100 and sorted(got) == sorted(want)
+
+
+def test_sizes_are_known_without_a_job(spark):
+    """A saved table is counted by the job that writes it: neither its size nor whether it is small takes another one."""
+    scratch = Scratch(spark, "sizes")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("sizes"))
+    spark.sparkContext.setJobGroup("sizes", "")
+    try:
+        labels = components(scratch, spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+        some = scratch.sized(spark.createDataFrame([("ab", 1), (None, 2), ("c", 3)], "s string, n long"), "some")
+        none = scratch.sized(some.where("n > 5"), "none")
+        before = jobs()
+        assert before > 0 and (size_of(labels)[0], size_of(some)[0], size_of(none)) == (3, 3, (0, 0))
+        assert size_of(some)[1] == 3 * (16 + 8 * 2) + 3
+        for df in (labels, some, none):
+            small_side(df)
+        small_side(labels.withColumnRenamed("id", "c"), of=labels)
+        assert jobs() == before
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r) for r in labels.collect()) == [(2, 1), (3, 1), (8, 7)]
+
+
 def test_lines_shared_keys(spark):
     """A key has one row for each different line that has it, however often the line is there; keys of one line have none."""
     rng = random.Random(5)
